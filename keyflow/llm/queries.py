@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm.chat import chat_digests, format_chats
+from keyflow.llm import context_tree
+from keyflow.llm.chat import CONTROLS, chat_digests, format_chats
 from keyflow.llm.common import table
+from keyflow.llm.decontamination import find_leaks
 from keyflow.llm.edit_counts import edit_counts
 from keyflow.llm.packing import pack_documents
+from keyflow.llm.quality import quality_rules
 from keyflow.llm.simhash import simhash_groups
 from keyflow.llm.substring_dedup import kept_digest, substring_dedup
 from keyflow.llm.token_store import read_tokens, write_tokens
@@ -57,6 +60,28 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the countable signs, and whether it is kept."""
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_low", "p_toxic")])
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and benchmark item that occurs in it: edits, and where in the normalised text."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.end")
+
+
+@_query
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base score and context-tree score."""
+    docs = table(spark, sf_dir, "documents")
+    scored = context_tree.score(docs, context_tree.fit(docs))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def tokenizer_path(name: str) -> str:
     """A tokenizer file's place; the files belong to the machine and aren't part of this repository."""
     import public_tokenizers
@@ -118,8 +143,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guarded(text: str) -> str:
-    from keyflow.llm.chat import CONTROLS
-
     out = f"replace({text}, '\\', '\\\\')"
     for c in CONTROLS:
         out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
