@@ -163,3 +163,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length(shown)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over documents; its pieces with the checksum of their ids."""
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
