@@ -308,7 +308,7 @@ def seq_merge_map(spark, d):
 
 @query("""
 WITH RECURSIVE s AS (SELECT user_id, event_id, value, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-r AS (SELECT user_id, event_id, rn, value, 0 AS tries, false AS over_, NULL AS signal FROM s WHERE rn = 1
+r AS (SELECT user_id, event_id, rn, value, 0 AS tries, false AS over_, CAST(NULL AS VARCHAR) AS signal FROM s WHERE rn = 1
   UNION ALL SELECT s.user_id, s.event_id, s.rn, s.value, CASE WHEN s.failed THEN tries + 1 ELSE 0 END, s.failed AND tries + 1 >= 3, CASE WHEN NOT s.failed THEN 'value' WHEN tries + 1 >= 3 THEN 'error' END
   FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1 WHERE NOT over_)
 SELECT user_id, event_id, value, signal FROM r WHERE signal IS NOT NULL
