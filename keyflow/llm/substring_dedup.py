@@ -78,6 +78,7 @@ class _Block:
         least = h[:n].copy()
         for i in range(1, span):
             np.minimum(least, h[i : i + n], out=least)
+        least = C.mix(least, 4)  # least hashes are small numbers: spread them over the buckets again
         return (least[self.at] >> np.uint64(64 - _HALF_BITS)) << np.uint64(64 - _HALF_BITS)
 
     def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
