@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyflow.functions import results
 from keyflow.operators.fold import fold_sequence
 
 
@@ -65,20 +66,17 @@ class EventSeq:
 
     def try_map(self, ok: Column, failed: Column, error: Column, name: str = "result") -> EventSeq:
         """A struct of ok and err for each event, one of them set."""
-        found = F.struct(F.when(~failed, ok).alias("ok"), F.when(failed, error).alias("err"))
-        return self._with(self.df.withColumn(name, found), value=name)
+        return self._with(self.df.withColumn(name, results.result(ok, failed, error)), value=name)
 
     def map_ok(self, f: Callable[[Column], Column]) -> EventSeq:
-        good = self._v["err"].isNull()
-        return self.map(F.struct(F.when(good, f(self._v["ok"])).alias("ok"), self._v["err"].alias("err")))
+        return self.map(results.map_ok(self._v, f))
 
     def map_err(self, f: Callable[[Column], Column]) -> EventSeq:
-        bad = self._v["err"].isNotNull()
-        return self.map(F.struct(self._v["ok"].alias("ok"), F.when(bad, f(self._v["err"])).alias("err")))
+        return self.map(results.map_err(self._v, f))
 
     def catch_error(self, f: Callable[[Column], Column]) -> EventSeq:
         """The plain value, or what f makes of the error. An ok of NULL stays NULL."""
-        return self.map(F.when(self._v["err"].isNull(), self._v["ok"]).otherwise(f(self._v["err"])))
+        return self.map(results.unwrap_or_else(self._v, f))
 
     unwrap_or_else = catch_error
 
