@@ -9,16 +9,23 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Stretches that a worker keeps ids of; it starts anew when full.
-MEMO_STRETCHES = 300_000
+#: Stretches, and parts of them, that a worker keeps ids of; it starts anew when full.
+MEMO_STRETCHES, MEMO_PARTS = 300_000, 600_000
 
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _STRETCH = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-_SPACES = str.maketrans("\n\t\r", "   ")
+#: Letters and then marks: pre-tokens of their own for both tokenizers, whatever Unicode version they follow.
+_SIMPLE = re.compile("([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?%$&*#|]*)")
+_LETTERS = re.compile("( ?)[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The byte-level spelling: visible Latin-1 characters stand for themselves, the other bytes for those from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SPELLING = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)]
+_SPACE = _SPELLING[32]
 
 
 def stretches(text: str) -> list[str]:
@@ -40,11 +47,14 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
         #: Whether a pre-token is never white space, so that white space can be left out.
-        self.drops_space = any(p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and "[^\\s" in str(p["pattern"]) for p in pre)
+        self.drops_space = any(p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and r"[^\s" in p["pattern"].get("Regex", "") for p in pre)
+        #: Words of letters are one pre-token and go straight to the library's model, in its own spelling of bytes.
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def parts(self, text: str) -> list[str]:
-        return text.translate(_SPACES).split(" ") if self.drops_space else stretches(text)
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if self.drops_space else stretches(text)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of dtype."""
@@ -65,10 +75,37 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO_STRETCHES:
             self.memo.clear()
             new = list(need)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+        pieces = [self._pieces(w) for w in new]
+        missing = set().union(*pieces) if pieces else set()
+        if len(self.known) + len(missing) > MEMO_PARTS:
+            self.known.clear()
+        missing = [p for p in missing if p not in self.known]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        others = []
+        for p in missing:
+            if _LETTERS.fullmatch(p):
+                spelt = p.replace(" ", _SPACE) if p.isascii() else "".join(map(_SPELLING.__getitem__, p.encode()))
+                self.known[p] = array(kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            else:
+                others.append(p)
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = array(kind, e.ids).tobytes()
+        get = self.known.__getitem__
+        for w, p in zip(new, pieces, strict=True):
+            self.memo[w] = b"".join(map(get, p))
+
+    def _pieces(self, stretch: str) -> tuple[str, ...]:
+        """Parts whose ids in a row are those of the stretch, so that fewer different ones need to be encoded."""
+        m = _SIMPLE.fullmatch(stretch)
+        if not m:
+            return (stretch,)
+        space, letters, marks = m.groups()
+        if self.drops_space:
+            return (letters.lower(), marks) if marks else (letters.lower(),)
+        word = (space + letters,) if space != "\n" else (space, letters)
+        return (*word, marks) if marks else word
 
 
 _ENCODERS: dict[str, Encoder] = {}
