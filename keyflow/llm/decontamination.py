@@ -139,20 +139,31 @@ def leaks_in(text: str, indexes: list[Items]) -> list[dict]:
     return [{"item_id": key, "edits": e, "start": s, "end": t} for key, (e, s, t) in sorted(best.values(), key=lambda v: (v[0] is None, v[0] or 0, v[1]))]
 
 
+class Block:
+    """Items that are searched for together; what goes to the tasks is their text, and each task makes its own index."""
+
+    def __init__(self, items: list[tuple[int, str, int]]):
+        self.items, self._made = items, None
+
+    def indexes(self) -> list[Items]:
+        if self._made is None:
+            self._made = _indexes([(key, points(text), e) for key, text, e in self.items])
+        return self._made
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text_col: str, rate: float, block_chars: int):
-    """The indexes of items, as many items at a time as have so many characters; items without text are left out."""
+    """The items, as many at a time as have so many characters; those without text are left out."""
     held, size = [], 0
     rows = benchmark.select(F.col(item_id).cast("long"), F.col(text_col).cast("string")).distinct()
     for key, text in rows.toLocalIterator():
-        x = points(normal(text))
-        if len(x):
-            held.append((key, x, int(len(x) * rate)))
-            size += len(x)
+        if text := normal(text):
+            held.append((key, text, int(len(text) * rate)))
+            size += len(text)
         if size > block_chars:
-            yield _indexes(held)
+            yield Block(held)
             held, size = [], 0
     if held:
-        yield _indexes(held)
+        yield Block(held)
 
 
 def _indexes(items: list[tuple[int, np.ndarray, int]]) -> list[Items]:
@@ -181,11 +192,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_
     kind = docs.select(F.lit(None).cast(_HIT).alias("x")).schema["x"].dataType
     schema = StructType([StructField("row", docs.schema), StructField("text", docs.select(F.col(text_col).cast("string")).schema[0].dataType), StructField("leaks", kind)])
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast(_HIT).alias("leaks"))
-    for indexes in _blocks(benchmark, item_id, item_text, rate, block_chars):
+    for block in _blocks(benchmark, item_id, item_text, rate, block_chars):
 
-        def search(batches, indexes=indexes):
+        def search(batches, block=block):
             for batch in batches:
-                found = [(old or []) + leaks_in(normal(t), indexes) for t, old in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                found = [(old or []) + leaks_in(normal(t), block.indexes()) for t, old in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _HIT_TYPE)], ["row", "text", "leaks"])
 
         out = out.mapInArrow(search, schema)
