@@ -20,7 +20,7 @@ def seq(spark, values, gaps=None, part="p"):
 
 def values(s, column="value"):
     df = s if not isinstance(s, EventSeq) else s.df
-    return [r[column] for r in df.orderBy(*[c for c in ("ts", "i") if c in df.columns]).collect()]
+    return [r[column] for r in df.orderBy(*[c for c in ("ts", "i", "chunk") if c in df.columns]).collect()]
 
 
 def test_transforms(spark):
@@ -50,7 +50,7 @@ def test_parts(spark):
     assert values(s.take_while(F.col("value") < 3)) == [1, 2] and values(s.skip_while(F.col("value") < 3)) == [3, 4, 5]
     assert values(s.last()) == [5] and values(s.first().last()) == []
     assert s.first().last_or(9).first().last == 9 and s.last_or(9).first().last == 5
-    assert values(s.buffer_count(3).orderBy("chunk"), "buffer") == [[2, 3, 4], [5]]
+    assert values(s.buffer_count(3), "buffer") == [[2, 3, 4], [5]]
     assert values(s.drop_newest(2)) == [2, 3]
 
 
