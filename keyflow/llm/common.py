@@ -112,10 +112,16 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if ascending else x
 
 
-def cuts(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n even ranges of the 64-bit key space begins in ascending keys; n + 1 places."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def ranges(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of those of n even ranges of the 64-bit key space that have any of some ascending keys; n is under 2**32."""
+    number = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    return slices(number)
+
+
+def slices(number: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, begin, end) of each run in ascending numbers."""
+    s = runs(number)
+    return list(zip(number[s].tolist(), s.tolist(), [*s[1:].tolist(), len(number)][: len(s)], strict=True))
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:

@@ -78,15 +78,10 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[s], np.add.reduceat(counts[order], s) if len(s) else counts[:0]
 
 
-def _rows(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int) -> list[tuple]:
+def _rows(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> list[tuple]:
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    out = []
-    for b in range(n):
-        i = order[edges[b] : edges[b + 1]]
-        if len(i):
-            out.append((kind, b, block, C.pack(keys[i], True), C.pack(counts[i].astype(np.uint32))))
-    return out
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    return [(kind, b, block, C.pack(keys[i:j], True), C.pack(counts[i:j])) for b, i, j in C.slices(bucket[order])]
 
 
 def _table(rows: list[tuple]) -> dict:
@@ -237,7 +232,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
                 if held[kind]:
                     keys, counts = merged(kind)
                     held[kind] = []
-                    yield pa.RecordBatch.from_pydict(_table(_rows(kind, 0, keys, counts, bucket(keys, n), n)))
+                    yield pa.RecordBatch.from_pydict(_table(_rows(kind, 0, keys, counts, bucket(keys, n))))
 
         for docs_words in _train_portions(batches):
             flat = [w for x in docs_words for w in x]
@@ -324,7 +319,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def ask(table: pa.Table) -> pa.Table:
         block, asked = table.column("block")[0].as_py(), _Asked(table)
-        return pa.table(_table([r for kind, keys, bucket in asked.parts(n) for r in _rows(kind, block, keys, np.zeros(len(keys)), bucket, n)]))
+        return pa.table(_table([r for kind, keys, bucket in asked.parts(n) for r in _rows(kind, block, keys, np.zeros(len(keys)), bucket)]))
 
     def answer(key, known: pa.Table, asked: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()

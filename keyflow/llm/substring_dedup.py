@@ -105,14 +105,14 @@ def _alive(block: _Block, reply: np.ndarray) -> np.ndarray:
     return reply[np.searchsorted(keys, a)] if len(a) else np.zeros(0, bool)
 
 
-def _bits(table: pa.Table, level: int, n: int) -> dict[int, bytes]:
+def _bits(table: pa.Table, level: int) -> dict[int, bytes]:
     return {r["bucket"]: r["bits"] for r in table.select(["level", "bucket", "bits"]).to_pylist() if r["level"] == level}
 
 
-def _joined(bits: dict[int, bytes], edges: np.ndarray) -> np.ndarray:
-    out = np.zeros(edges[-1], bool)
-    for b, data in bits.items():
-        out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=edges[b + 1] - edges[b])
+def _joined(bits: dict[int, bytes], ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.zeros(ranges[-1][2] if ranges else 0, bool)
+    for b, i, j in ranges:
+        out[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i)
     return out
 
 
@@ -136,29 +136,26 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"),
     ).withColumn("block", C.block_of(F.col("id"), n_blocks))
 
-    def rows(level, block, edges, keys, more, least):
-        out = {"level": [], "block": [], "bucket": [], "keys": [], "more": [], "least": []}
-        for b in range(n_buckets):
-            i, j = edges[b], edges[b + 1]
-            if i < j:
-                for k, v in zip(out, (level, block, b, C.pack(keys[i:j], True), C.pack(more[i:j]), C.pack(least[i:j])), strict=True):
-                    out[k].append(v)
-        return pa.table({k: pa.array(v, pa.binary() if k in ("keys", "more", "least") else pa.int32()) for k, v in out.items()})
+    def rows(level, block, ranges, keys, more, least):
+        made = [(level, block, b, C.pack(keys[i:j], True), C.pack(more[i:j]), C.pack(least[i:j])) for b, i, j in ranges]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = list(zip(*made, strict=True)) or [()] * len(types)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("level", "block", "bucket", "keys", "more", "least"), columns, types, strict=True)})
 
     def send_halves(table: pa.Table) -> pa.Table:
         block = _Block(table, min_words)
         keys, multi, _ = block.halves()
         short = keys >> np.uint64(64 - _HALF_BITS)
-        return rows(1, table.column("block")[0].as_py(), C.cuts(keys, n_buckets), short, multi.view(np.uint8), np.zeros(len(keys), np.uint8))
+        return rows(1, table.column("block")[0].as_py(), C.ranges(keys, n_buckets), short, multi.view(np.uint8), np.zeros(len(keys), np.uint8))
 
     def send_full(key, table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return rows(2, 0, np.zeros(n_buckets + 1, int), *[np.zeros(0, np.uint64)] * 3)
+            return rows(2, 0, [], *[np.zeros(0, np.uint64)] * 3)
         block = _Block(table, min_words)
         keys, _, _ = block.halves()
-        alive = _alive(block, _joined(_bits(reply, 1, n_buckets), C.cuts(keys, n_buckets)))
+        alive = _alive(block, _joined(_bits(reply, 1), C.ranges(keys, n_buckets)))
         h, h2, _, ids, s = block.full(alive)
-        return rows(2, table.column("block")[0].as_py(), C.cuts(h[s], n_buckets), h[s], h2[s], ids[s])
+        return rows(2, table.column("block")[0].as_py(), C.ranges(h[s], n_buckets), h[s], h2[s], ids[s])
 
     def answer(table: pa.Table) -> pa.Table:
         """Level 1: has another document this half? Level 2: has a document with a smaller id this window?"""
@@ -195,9 +192,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
         texts, n_words, n_removed = [], [], []
         if block:
             keys, _, _ = block.halves()
-            alive = _alive(block, _joined(_bits(reply, 1, n_buckets), C.cuts(keys, n_buckets)))
+            alive = _alive(block, _joined(_bits(reply, 1), C.ranges(keys, n_buckets)))
             h, h2, at, ids, s = block.full(alive)
-            less = _joined(_bits(reply, 2, n_buckets), C.cuts(h[s], n_buckets))
+            less = _joined(_bits(reply, 2), C.ranges(h[s], n_buckets))
             size = np.diff(np.append(s, len(h)))
             gone = np.repeat(less, size) | (ids > np.repeat(ids[s], size)) if len(s) else np.zeros(0, bool)
             steps = np.zeros(len(block.flat) + 1, np.int64)
