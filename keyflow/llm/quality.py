@@ -26,8 +26,10 @@ TRAIN_ROWS = 6000
 LEAST_ROWS, MOST_SHARE = 5, 0.25
 #: A text is rejected if it is of low quality, or toxic, with at least these probabilities.
 LOW_QUALITY, TOXIC = 0.5, 0.5
+#: A feature counts if it tells the classes apart by so many standard deviations.
+SCREEN = 4.0
 _CHAR_SCALE = 30.0
-_L2 = 2e-3
+_L2 = 2e-4
 _ODD = 0x8CB92BA72F3D8DD7
 _PORTION = 1 << 20
 
@@ -167,6 +169,24 @@ def _minimise(f, x: np.ndarray, steps: int = 80) -> np.ndarray:
     return x
 
 
+def _apart(place: np.ndarray, value: np.ndarray, row: np.ndarray, wrong: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """How clearly each feature tells the classes apart in the used rows, in standard deviations of what chance gives.
+
+    Words and pairs: the root of the likelihood ratio of having it; trigrams: the means' distance in standard errors.
+    """
+    total, error, has = np.zeros(SIZE), np.full(SIZE, 1e-12), []
+    for sign, rows in ((1, wrong & used), (-1, ~wrong & used)):
+        n, at = max(int(rows.sum()), 1), rows[row]
+        has.append(np.bincount(place[at], minlength=SIZE))
+        mean = np.bincount(place[at], value[at], SIZE) / n
+        total += sign * mean
+        error += (np.bincount(place[at], value[at] ** 2, SIZE) / n - mean**2).clip(0) / n
+    share = (wrong & used).sum() / max(used.sum(), 1)
+    both = np.maximum(has[0] + has[1], 1)
+    ratio = sum(2 * h * np.log(np.maximum(h, 1) / (both * p)) for h, p in zip(has, (share, 1 - share), strict=True))
+    return np.where(np.arange(SIZE) < _CHARS, np.sqrt(np.maximum(ratio, 0)), np.abs(total) / np.sqrt(error))
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Classifier:
     """A classifier of wrong (0 or 1) from features; every fourth row is kept for turning margins into probabilities.
 
@@ -180,14 +200,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Class
     place = np.concatenate([p for p, _ in rows])
     value = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(n), [len(p) for p, _ in rows])
+    fit_row = np.arange(n) % 4 != 3
     df = np.bincount(place, minlength=SIZE)
-    keep = (df >= LEAST_ROWS) & ((df <= MOST_SHARE * n) | (np.arange(SIZE) >= _CHARS))
+    keep = (df >= LEAST_ROWS) & ((df <= MOST_SHARE * n) | (np.arange(SIZE) >= _CHARS)) & (_apart(place, value, row, wrong > 0, fit_row) >= SCREEN)
     names = np.flatnonzero(keep)
     number = np.full(SIZE, -1)
     number[names] = np.arange(len(names))
     use = keep[place]
     place, value, row = number[place[use]], value[use], row[use]
-    fit_row = np.arange(n) % 4 != 3
     size = len(names)
 
     def margins(x: np.ndarray) -> np.ndarray:
