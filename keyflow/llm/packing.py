@@ -11,44 +11,50 @@ from keyflow.llm import common as C
 from keyflow.llm.tokens import encoder
 
 #: Text of a shard of the index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 K1, B = 1.2, 0.75
 #: Terms of a seed that its query has: those that weigh most.
 QUERY_TERMS = 24
 
 
 class Index:
-    """BM25 over the documents of a shard, with the shard's own counts; word hashes are the terms."""
-
-    def __init__(self, texts: list[bytes]):
-        per = [np.unique(C.word_hashes(t.lower().split()), return_counts=True) for t in texts]
-        lens = np.array([int(c.sum()) for _, c in per], np.float64)
-        doc = np.repeat(np.arange(len(per)), [len(h) for h, _ in per])
-        term = np.concatenate([h for h, _ in per]) if per else np.zeros(0, np.uint64)
-        tf = np.concatenate([c for _, c in per]).astype(np.float64) if per else np.zeros(0)
-        order = np.argsort(term, kind="stable")
-        s = C.runs(term[order])
-        df = np.diff(np.append(s, len(term)))
-        idf = np.log1p((len(per) - df + 0.5) / (df + 0.5))
-        self.n = len(per)
-        self.begins = np.append(s, len(term))
-        self.docs = doc[order]
-        norm = K1 * (1 - B + B * lens / max(lens.mean() if len(lens) else 1.0, 1.0))
-        weight = np.repeat(idf, df) * (tf[order] * (K1 + 1) / (tf[order] + norm[self.docs]))
-        self.weights = weight
-        # each document's heaviest terms that others have too
-        number = np.repeat(np.arange(len(s)), df)
-        shared = np.flatnonzero(np.repeat(df > 1, df))
-        by_doc = shared[np.lexsort((-weight[shared], self.docs[shared]))]
-        at = np.searchsorted(self.docs[by_doc], np.arange(self.n + 1))
-        self.query = [number[by_doc[at[i] : min(at[i + 1], at[i] + QUERY_TERMS)]] for i in range(self.n)]
-
-    def scores(self, seed: int) -> np.ndarray:
-        terms = self.query[seed]
-        if not len(terms):
-            return np.zeros(self.n)
-        place = np.concatenate([np.arange(self.begins[t], self.begins[t + 1]) for t in terms])
-        return np.bincount(self.docs[place], self.weights[place], self.n)
+    """BM25 over the documents of a shard, with the shard's own counts; a term is two ids in a row."""
+
+    def __init__(self, ids: list[np.ndarray]):
+        lens = np.array([max(0, len(x) - 1) for x in ids], np.int64)
+        self.n = len(ids)
+        term = np.concatenate([x[:-1].astype(np.uint64) << np.uint64(20) | x[1:] for x in ids if len(x) > 1] or [np.zeros(0, np.uint64)])
+        # ids have 20 bits and a shard has far fewer than 2**20 documents
+        key = np.sort(term << np.uint64(20) | np.repeat(np.arange(self.n, dtype=np.uint64), lens))
+        s = C.runs(key)
+        tf = np.diff(np.append(s, len(key)))
+        self.docs = (key[s] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        self.begins = C.runs(key[s] >> np.uint64(20))
+        df = np.diff(np.append(self.begins, len(s)))
+        self.number = np.repeat(np.arange(len(df)), df)
+        self.df = df
+        norm = K1 * (1 - B + B * lens / max(lens.mean() if self.n else 1.0, 1.0))
+        self.weights = np.repeat(np.log1p((self.n - df + 0.5) / (df + 0.5)), df) * (tf * (K1 + 1) / (tf + norm[self.docs]))
+        self.by_doc = np.sort(self.docs << 40 | np.arange(len(s))) & ((1 << 40) - 1)
+        self.doc_begins = np.append(0, np.cumsum(np.bincount(self.docs, minlength=self.n)))
+
+    def query(self, seed: int) -> np.ndarray:
+        """A document's heaviest terms of those that others have too."""
+        own = self.by_doc[self.doc_begins[seed] : self.doc_begins[seed + 1]]
+        own = own[self.df[self.number[own]] > 1]
+        if len(own) > QUERY_TERMS:
+            own = own[np.argpartition(-self.weights[own], QUERY_TERMS)[:QUERY_TERMS]]
+        return self.number[own]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents with a score, the best first."""
+        score = np.zeros(self.n)
+        for t in self.query(seed).tolist():
+            i = self.begins[t]
+            j = i + self.df[t]
+            score[self.docs[i:j]] += self.weights[i:j]
+        found = np.flatnonzero(unused & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(counts: np.ndarray, index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -87,11 +93,10 @@ def fill(counts: np.ndarray, index: Index, window: int) -> list[tuple[int, int,
             put(seed)
             if not offset:
                 break
-            score = np.where(unused, index.scores(seed), 0.0)
-            for d in np.argsort(-score, kind="stable")[: np.count_nonzero(score)]:
+            for d in index.neighbours(seed, unused).tolist():
                 at = sequence
                 unused[d] = False
-                seed = int(d)
+                seed = d
                 put(seed)
                 if sequence != at:
                     break
@@ -120,7 +125,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
         end = np.array([end_id], enc.dtype).tobytes()
         raw = [x + end for i in range(0, len(texts), 512) for x in enc.raw(texts[i : i + 512])]
         counts = np.array([len(x) // enc.dtype.itemsize for x in raw], np.int64)
-        pieces = fill(counts, Index([t.encode() for t in texts]), window)
+        pieces = fill(counts, Index([np.frombuffer(x, enc.dtype) for x in raw]), window)
         base = table.column("shard")[0].as_py() << 32
         size = enc.dtype.itemsize
         d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))

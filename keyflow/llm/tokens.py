@@ -21,7 +21,6 @@ _STRETCH = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 #: Letters and then marks: pre-tokens of their own for both tokenizers, whatever Unicode version they follow.
 _SIMPLE = re.compile("([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?%$&*#|]*)")
-_LETTERS = re.compile("( ?)[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: The byte-level spelling: visible Latin-1 characters stand for themselves, the other bytes for those from 256 on.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _SPELLING = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)]
@@ -48,8 +47,8 @@ class Encoder:
         pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
         #: Whether a pre-token is never white space, so that white space can be left out.
         self.drops_space = any(p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and r"[^\s" in p["pattern"].get("Regex", "") for p in pre)
-        #: Words of letters are one pre-token and go straight to the library's model, in its own spelling of bytes.
         self.model = self.tokenizer.model
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -71,41 +70,45 @@ class Encoder:
 
     def _learn(self, parts: list[list[str]]) -> None:
         need = set().union(*parts)
-        new = [w for w in need if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_STRETCHES:
-            self.memo.clear()
+        memo, known, simple = self.memo, self.known, _SIMPLE.fullmatch
+        new = [w for w in need if w not in memo]
+        if len(memo) + len(new) > MEMO_STRETCHES:
+            memo.clear()
             new = list(need)
-        pieces = [self._pieces(w) for w in new]
-        missing = set().union(*pieces) if pieces else set()
-        if len(self.known) + len(missing) > MEMO_PARTS:
-            self.known.clear()
-        missing = [p for p in missing if p not in self.known]
-        kind = "H" if self.dtype.itemsize == 2 else "I"
+        if len(known) > MEMO_PARTS:
+            known.clear()
         others = []
-        for p in missing:
-            if _LETTERS.fullmatch(p):
-                spelt = p.replace(" ", _SPACE) if p.isascii() else "".join(map(_SPELLING.__getitem__, p.encode()))
-                self.known[p] = array(kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        for w in new:
+            m = simple(w)
+            if not m:
+                others.append(w)
+                continue
+            space, letters, marks = m.groups()
+            if self.drops_space:
+                before, word = b"", letters.lower()
+            elif space == "\n":
+                before, word = self._part(space), letters
             else:
-                others.append(p)
+                before, word = b"", space + letters
+            ids = known.get(word)
+            if ids is None:
+                # letters alone are one pre-token: it goes straight to the model, in the model's spelling of bytes
+                spelt = word.replace(" ", _SPACE) if word.isascii() else "".join(map(_SPELLING.__getitem__, word.encode()))
+                ids = known[word] = array(self.kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            memo[w] = before + ids + self._part(marks) if before or marks else ids
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = array(kind, e.ids).tobytes()
-        get = self.known.__getitem__
-        for w, p in zip(new, pieces, strict=True):
-            self.memo[w] = b"".join(map(get, p))
-
-    def _pieces(self, stretch: str) -> tuple[str, ...]:
-        """Parts whose ids in a row are those of the stretch, so that fewer different ones need to be encoded."""
-        m = _SIMPLE.fullmatch(stretch)
-        if not m:
-            return (stretch,)
-        space, letters, marks = m.groups()
-        if self.drops_space:
-            return (letters.lower(), marks) if marks else (letters.lower(),)
-        word = (space + letters,) if space != "\n" else (space, letters)
-        return (*word, marks) if marks else word
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memo[w] = array(self.kind, e.ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        """Ids of a few marks or a line's end, pre-tokens of their own."""
+        if not text:
+            return b""
+        ids = self.known.get(text)
+        if ids is None:
+            ids = self.known[text] = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}

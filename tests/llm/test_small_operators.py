@@ -176,12 +176,12 @@ def test_packing(spark, docs):
 
 
 def test_packing_takes_the_nearest(spark):
-    texts = [b"apple pear plum fig", b"car bus tram road", b"apple pear plum date", b"bus tram road rail"]
-    pieces = packing.fill(np.array([5, 5, 5, 5]), packing.Index(texts), 10)
+    ids = [np.array(x, np.uint16) for x in ([1, 2, 3, 4, 5], [11, 12, 13, 14, 15], [1, 2, 3, 4, 9], [21, 12, 13, 14, 15])]
+    pieces = packing.fill(np.array([5, 5, 5, 5]), packing.Index(ids), 10)
     seqs = defaultdict(set)
     for d, _, _, s, _ in pieces:
         seqs[s].add(d)
-    assert sorted(map(sorted, seqs.values())) == [[0, 2], [1, 3]] or sum(map(len, seqs.values())) >= 4
+    assert sorted(map(sorted, seqs.values())) == [[0, 2], [1, 3]]
 
 
 def test_edit_counts(spark, docs):
