@@ -169,22 +169,39 @@ def _minimise(f, x: np.ndarray, steps: int = 80) -> np.ndarray:
     return x
 
 
-def _apart(place: np.ndarray, value: np.ndarray, row: np.ndarray, wrong: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """How clearly each feature tells the classes apart in the used rows, in standard deviations of what chance gives.
+_CHUNK = 256
+
+
+def _chunks(rows: list[tuple[np.ndarray, np.ndarray]]):
+    """(place, value, row) of some rows at a time, so that few are held in full width."""
+    for i in range(0, len(rows), _CHUNK):
+        some = rows[i : i + _CHUNK]
+        yield np.concatenate([p for p, _ in some]).astype(np.int64), np.concatenate([v for _, v in some]), np.repeat(np.arange(i, i + len(some)), [len(p) for p, _ in some])
+
+
+def _apart(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have each feature; and how clearly it tells the used rows' classes apart, in standard deviations of what chance gives.
 
     Words and pairs: the root of the likelihood ratio of having it; trigrams: the means' distance in standard errors.
     """
-    total, error, has = np.zeros(SIZE), np.full(SIZE, 1e-12), []
-    for sign, rows in ((1, wrong & used), (-1, ~wrong & used)):
-        n, at = max(int(rows.sum()), 1), rows[row]
-        has.append(np.bincount(place[at], minlength=SIZE))
-        mean = np.bincount(place[at], value[at], SIZE) / n
-        total += sign * mean
-        error += (np.bincount(place[at], value[at] ** 2, SIZE) / n - mean**2).clip(0) / n
-    share = (wrong & used).sum() / max(used.sum(), 1)
-    both = np.maximum(has[0] + has[1], 1)
-    ratio = sum(2 * h * np.log(np.maximum(h, 1) / (both * p)) for h, p in zip(has, (share, 1 - share), strict=True))
-    return np.where(np.arange(SIZE) < _CHARS, np.sqrt(np.maximum(ratio, 0)), np.abs(total) / np.sqrt(error))
+    df, has = np.zeros(SIZE, np.int32), np.zeros((2, SIZE), np.int32)
+    sums = np.zeros((2, 2, SIZE - _CHARS))
+    for place, value, row in _chunks(rows):
+        df += np.bincount(place, minlength=SIZE).astype(np.int32)
+        for k, own in enumerate((wrong & used, ~wrong & used)):
+            at = own[row]
+            has[k] += np.bincount(place[at], minlength=SIZE).astype(np.int32)
+            at &= place >= _CHARS
+            for power in (1, 2):
+                sums[k, power - 1] += np.bincount(place[at] - _CHARS, value[at] ** power, SIZE - _CHARS)
+    n = np.maximum([(wrong & used).sum(), (~wrong & used).sum()], 1)
+    mean = sums[:, 0] / n[:, None]
+    error = ((sums[:, 1] / n[:, None] - mean**2).clip(0) / n[:, None]).sum(axis=0) + 1e-12
+    both = np.maximum(has.sum(axis=0), 1)
+    ratio = sum(2 * h * np.log(np.maximum(h, 1) / (both * p)) for h, p in zip(has, n / n.sum(), strict=True))
+    clear = np.sqrt(np.maximum(ratio, 0))
+    clear[_CHARS:] = np.abs(mean[0] - mean[1]) / np.sqrt(error)
+    return df, clear
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Classifier:
@@ -197,17 +214,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Class
     if not 0 < wrong.sum() < n:
         odds = np.log((wrong.sum() + 0.5) / (n - wrong.sum() + 0.5))
         return Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, float(odds))
-    place = np.concatenate([p for p, _ in rows])
-    value = np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(n), [len(p) for p, _ in rows])
     fit_row = np.arange(n) % 4 != 3
-    df = np.bincount(place, minlength=SIZE)
-    keep = (df >= LEAST_ROWS) & ((df <= MOST_SHARE * n) | (np.arange(SIZE) >= _CHARS)) & (_apart(place, value, row, wrong > 0, fit_row) >= SCREEN)
+    df, clear = _apart(rows, wrong > 0, fit_row)
+    keep = (df >= LEAST_ROWS) & ((df <= MOST_SHARE * n) | (np.arange(SIZE) >= _CHARS)) & (clear >= SCREEN)
     names = np.flatnonzero(keep)
     number = np.full(SIZE, -1)
     number[names] = np.arange(len(names))
-    use = keep[place]
-    place, value, row = number[place[use]], value[use], row[use]
+    parts = [(number[p[u]], v[u], r[u]) for p, v, r in _chunks(rows) for u in [keep[p]]]
+    place, value, row = (np.concatenate(c) for c in zip(*parts, strict=True))
     size = len(names)
 
     def margins(x: np.ndarray) -> np.ndarray:
@@ -267,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     labelled = texts.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "body")  # the sample's size is bounded
     got = sorted(labelled.mapInArrow(features, "id long, quality int, toxic int, places binary, values binary").collect(), key=lambda r: (r[0], r[3]))
-    x = [(np.frombuffer(r.places, np.int32).astype(np.int64), np.frombuffer(r[4], np.float32).astype(np.float64)) for r in got]
+    x = [(np.frombuffer(r.places, np.int32), np.frombuffer(r[4], np.float32)) for r in got]
     if not x:
         return train([], np.zeros(0)), train([], np.zeros(0))
     mixed = np.random.default_rng(7).permutation(len(x))
