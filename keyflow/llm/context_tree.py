@@ -50,11 +50,10 @@ def gram_keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(lens + DEPTH) - lens - DEPTH
     for d in range(DEPTH):
         inside[begin + d] = False
-    at = np.flatnonzero(inside)
-    key = buffer[at]
+    n, key = len(buffer), buffer[DEPTH:].copy()
     for d in range(1, DEPTH + 1):
-        key |= buffer[at - d] << np.uint64(8 * (DEPTH + 1 - d))
-    return key, lens
+        key |= buffer[DEPTH - d : n - d] << np.uint64(8 * (DEPTH + 1 - d))
+    return key[inside[DEPTH:]], lens
 
 
 def _gram_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -286,15 +285,19 @@ def _train_portions(batches):
 
 
 class _Asked:
-    """A block's distinct words and contexts, and where each of its own is among them."""
+    """A block's distinct words and contexts; places: and where each of its own is among them."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, places: bool):
         self.ids = table.column("id").to_pylist()
         docs = [words_of(x) for x in table.column("body").to_pylist()]
         self.n_words = np.array([len(x) for x in docs], np.int64)
-        words = C.word_hashes([w for x in docs for w in x])
-        self.words, self.word_at = np.unique(np.append(words, np.uint64(_END_WORD)), return_inverse=True)
+        words = np.append(C.word_hashes([w for x in docs for w in x]), np.uint64(_END_WORD))
         grams, self.lens = gram_keys(docs)
+        del docs
+        if not places:
+            self.words, self.grams = counted(words)[0], counted(grams)[0]
+            return
+        self.words, self.word_at = np.unique(words, return_inverse=True)
         order = np.argsort(grams)
         s = C.runs(grams[order])
         self.grams = grams[order][s]
@@ -318,7 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     blocks = blocks.withColumn("block", C.block_of(F.col("id"), C.groups(C.text_bytes(docs, text_col), C.BLOCK_BYTES)))
 
     def ask(table: pa.Table) -> pa.Table:
-        block, asked = table.column("block")[0].as_py(), _Asked(table)
+        block, asked = table.column("block")[0].as_py(), _Asked(table, False)
         return pa.table(_table([r for kind, keys, bucket in asked.parts(n) for r in _rows(kind, block, keys, np.zeros(len(keys)), bucket)]))
 
     def answer(key, known: pa.Table, asked: pa.Table) -> pa.Table:
@@ -341,7 +344,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def finish(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _SCORED})
-        asked = _Asked(table)
+        asked = _Asked(table, True)
         found = {(k, b): x for k, b, x in zip(*[replies.column(c).to_pylist() for c in ("kind", "bucket", "counts")], strict=True)}
         got = []
         for kind, keys, bucket in asked.parts(n):
