@@ -1,7 +1,8 @@
 """Ordered event sequences, one for each value of the partition columns.
 
 ``seed``: the first event of a sequence is what a subscriber would see at once. Operators that count it treat it like any
-other event; those that suppress it leave it out (each method says which). The end of the data is the sequence's end.
+other event; those that suppress it leave it out (each method says which). A sequence from a source that has no current
+value has no such event (``seed=False``): then nothing is left out. The end of the data is the sequence's end.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ def _interval(d: timedelta) -> Column:
 
 
 class EventSeq:
-    def __init__(self, df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str = "value", ts: str = "ts", coalesce: bool = True):
+    def __init__(self, df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str = "value", ts: str = "ts", coalesce: bool = True, seed: bool = True, name: str = ""):
         self.df, self.partition, self.order, self.value, self.ts = df, list(partition), list(order), value, ts
-        self.coalesces = coalesce
+        self.coalesces, self.seed, self.name = coalesce, int(seed), name
 
     # helpers
 
@@ -40,7 +41,7 @@ class EventSeq:
         return self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def _with(self, df: DataFrame, **kw) -> EventSeq:
-        return EventSeq(df, self.partition, kw.get("order", self.order), kw.get("value", self.value), self.ts, self.coalesces)
+        return EventSeq(df, self.partition, kw.get("order", self.order), kw.get("value", self.value), self.ts, self.coalesces, kw.get("seed", self.seed), self.name)
 
     def _keep(self, condition: Column) -> EventSeq:
         return self._with(self.df.withColumn("__keep", condition).filter("__keep").drop("__keep"))
@@ -137,6 +138,14 @@ class EventSeq:
         df = df.filter((F.col("__n") > 1) & declared & (guard if guard is not None else F.lit(True)))
         return self._with(df.withColumn(name, out).drop("__n").withColumnRenamed("__from", "from_state"), value=name)
 
+    def state_hooks(self, on: dict[tuple[str, str], Column], on_exit: dict[str, Column] | None = None, on_enter: dict[str, Column] | None = None, on_any: Column | None = None, guard: Column | None = None, name: str = "fired") -> EventSeq:
+        """What a declared change of state sets off, as an array: on leaving a state, the change itself, on entering one, on any."""
+        moved = self.state_transition(on, guard, "__own")
+        a, b = F.col("from_state"), self._v
+        pick = lambda of, hooks: F.coalesce(*[F.when(of == k, v) for k, v in (hooks or {}).items()], F.lit(None).cast("string"))
+        fired = F.array_compact(F.array(pick(a, on_exit), F.col("__own"), pick(b, on_enter), F.lit(None).cast("string") if on_any is None else on_any))
+        return moved._with(moved.df.withColumn(name, fired).drop("__own"), value=name)
+
     def invalid_transitions(self, declared: Sequence[tuple[str, str]]) -> EventSeq:
         """Changes of state that aren't declared."""
         df = self.df.withColumn("from_state", F.lag(self._v).over(self.w)).withColumn("__n", self._place()).filter("__n > 1").drop("__n")
@@ -147,7 +156,10 @@ class EventSeq:
 
     def cold(self) -> EventSeq:
         """Without the seed."""
-        return self.skip(1)
+        return self.skip(self.seed)._with_seed(False)
+
+    def _with_seed(self, seed: bool) -> EventSeq:
+        return self._with(self.df, seed=seed)
 
     def finalize(self, callback: Callable[[], None], action: Callable[[DataFrame], object]):
         """Runs an action on the events, and then the callback once, whether it ended well or not."""
@@ -156,6 +168,16 @@ class EventSeq:
         finally:
             callback()
 
+    def with_name(self, name: str) -> EventSeq:
+        """A name for the sequence's jobs and plans."""
+        out = self._with(self.df.alias(name))
+        out.name = name
+        return out
+
+    def describe(self) -> dict:
+        """What this sequence depends on."""
+        return {"name": self.name, "files": list(self.df.inputFiles()), "plan": self.df._jdf.queryExecution().optimizedPlan().toString()}
+
     def parallel(self) -> EventSeq:
         return self
 
@@ -192,19 +214,19 @@ class EventSeq:
         """The last event after the seed."""
         w = Window.partitionBy(*self.partition).orderBy(*[F.col(c).desc() for c in self.order])
         df = self.df.withColumn("__n", F.row_number().over(w)).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*self.partition)))
-        return self._with(df.filter("__n = 1 and __m > 1").drop("__n", "__m"))
+        return self._with(df.filter(f"__n = 1 and __m > {self.seed}").drop("__n", "__m"))
 
     def last_or(self, default) -> DataFrame:
         """For each partition its last value after the seed, or the default."""
         n = F.count(F.lit(1))
         last = F.max_by(self._v, F.struct(*self.order))
-        return self.df.groupBy(*self.partition).agg(F.when(n > 1, last).otherwise(F.lit(default)).alias("last"))
+        return self.df.groupBy(*self.partition).agg(F.when(n > self.seed, last).otherwise(F.lit(default)).alias("last"))
 
     def buffer_count(self, n: int, name: str = "buffer") -> DataFrame:
         """(partition, chunk, buffer): n values at a time, without the seed; the rest at the end."""
         if n < 1:
             raise ValueError("n must be positive")
-        df = self.df.withColumn("__n", self._place()).filter("__n > 1").withColumn("chunk", F.floor((F.col("__n") - 2) / n))
+        df = self.df.withColumn("__n", self._place() - self.seed).filter("__n > 0").withColumn("chunk", F.floor((F.col("__n") - 1) / n))
         return self._chunks(df, ["chunk"], name)
 
     def _chunks(self, df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -224,8 +246,8 @@ class EventSeq:
 
     def drop_newest(self, capacity: int) -> EventSeq:
         """The first so many events after the seed."""
-        n = self._place()
-        return self._keep((n > 1) & (n <= capacity + 1))
+        n = self._place() - self.seed
+        return self._keep((n > 0) & (n <= capacity))
 
     def drop_oldest(self, capacity: int) -> EventSeq:
         """All events: what is newest always has room."""
@@ -346,8 +368,8 @@ class EventSeq:
 
     def zip(self, other: EventSeq, names: Sequence[str] = ("left", "right")) -> DataFrame:
         """The i-th events after the seeds side by side."""
-        a = self.df.select(*self.partition, (self._place() - 1).alias("place"), self._v.alias(names[0])).filter("place > 0")
-        b = other.df.select(*self.partition, (other._place() - 1).alias("place"), other._v.alias(names[1])).filter("place > 0")
+        a = self.df.select(*self.partition, (self._place() - self.seed).alias("place"), self._v.alias(names[0])).filter("place > 0")
+        b = other.df.select(*self.partition, (other._place() - other.seed).alias("place"), other._v.alias(names[1])).filter("place > 0")
         return a.join(b, [*self.partition, "place"])
 
     def switch_map(self, inner: EventSeq, names: Sequence[str] = ("outer", "inner")) -> DataFrame:
@@ -394,7 +416,7 @@ class EventSeq:
         return df.groupBy("tick", *key).agg(F.max_by(self._v, F.struct(*self.order)).alias(self.value))
 
     def no_coalesce(self) -> EventSeq:
-        return EventSeq(self.df, self.partition, self.order, self.value, self.ts, False)
+        return EventSeq(self.df, self.partition, self.order, self.value, self.ts, False, self.seed, self.name)
 
     def bounded(self, tick: str, capacity: int, policy: str = "block") -> EventSeq:
         """What a buffer of that capacity lets through in each tick: block all, drop_oldest the last, drop_newest the first; error fails an action."""

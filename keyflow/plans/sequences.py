@@ -127,6 +127,23 @@ def seq_state_transition(spark, d):
     return out.df.select(*_KEY, "from_state", "transition")
 
 
+@query(f"""SELECT user_id, event_id, concat_ws(',', CASE b WHEN 'view' THEN 'left view' END, CASE event_type WHEN 'click' THEN 'opened' ELSE 'bought' END, CASE event_type WHEN 'purchase' THEN 'at till' END, 'moved') AS fired
+FROM (SELECT *, lag(event_type) OVER ({_W}) AS b FROM events) WHERE (b = 'view' AND event_type = 'click') OR (b = 'click' AND event_type = 'purchase')""")
+def seq_state_hooks(spark, d):
+    """Hooks in their order: exit, transition, enter, any."""
+    on = {("view", "click"): F.lit("opened"), ("click", "purchase"): F.lit("bought")}
+    out = _types(spark, d).state_hooks(on, {"view": F.lit("left view")}, {"purchase": F.lit("at till")}, F.lit("moved"))
+    return out.df.select(*_KEY, F.array_join("fired", ",").alias("fired"))
+
+
+@query("SELECT user_id, event_id, CAST(floor((rn - 1) / 4) AS BIGINT) AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)")
+def seq_source_buffer(spark, d):
+    """A source without a current value: its first event is in the first chunk."""
+    s = _events(spark, d)
+    s = EventSeq(s.df, s.partition, s.order, "event_id", seed=False)
+    return s.buffer_count(4).select("user_id", F.explode("buffer").alias("event_id"), "chunk").select(*_KEY, "chunk")
+
+
 @query(f"SELECT user_id, event_id, b AS from_state, event_type FROM (SELECT *, lag(event_type) OVER ({_W}) AS b FROM events) WHERE b IS NOT NULL AND NOT (b = 'view' AND event_type = 'click')")
 def seq_invalid_transitions(spark, d):
     return _types(spark, d).invalid_transitions([("view", "click")]).df.select(*_KEY, "from_state", "event_type")

@@ -118,3 +118,10 @@ def test_batches_and_bounds(spark):
     assert s.bounded("flush", 4, "error").df.count() == 8
     with pytest.raises(Exception, match="buffer is full"):
         s.bounded("flush", 3, "error").df.collect()
+
+
+def test_a_source_has_no_seed(spark):
+    s = seq(spark, [1, 2, 3])._with_seed(False)
+    assert values(s.cold()) == [1, 2, 3] and values(s.drop_newest(2)) == [1, 2] and values(s.first().last()) == [1]
+    assert [r.buffer for r in s.buffer_count(2).orderBy("chunk").collect()] == [[1, 2], [3]]
+    assert values(s.merge(s.take(1))) == [1, 1, 2, 3]
