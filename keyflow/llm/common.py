@@ -8,6 +8,7 @@ makes a bucket large), and gets an answer for each key back in the same order.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ BUCKET_BYTES = 16 << 20
 #: Fewest blocks and buckets, so that small inputs use all cores.
 LEAST_GROUPS = 24
 #: Entries of a worker's memo of words; it starts anew when full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +73,34 @@ def block_of(key, n: int):
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+_holder = None
+
+
+def hold(memo) -> None:
+    """Only one memo is kept in a process, the last that learnt something; the others start anew."""
+    global _holder
+    if _holder is not memo:
+        if _holder is not None:
+            _holder.clear()
+            trim()
+        _holder = memo
+
+
+def trim() -> None:
+    """Gives memory that isn't used back to the machine; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class WordHash(dict):
     """64-bit hash of a word (bytes), memoised."""
 
     def __missing__(self, word: bytes) -> int:
+        if _holder is not self:
+            hold(self)
         if len(self) >= MEMO_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)

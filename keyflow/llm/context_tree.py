@@ -288,6 +288,7 @@ class _Asked:
     """A block's distinct words and contexts; places: and where each of its own is among them."""
 
     def __init__(self, table: pa.Table, places: bool):
+        C.trim()
         self.ids = table.column("id").to_pylist()
         docs = [words_of(x) for x in table.column("body").to_pylist()]
         self.n_words = np.array([len(x) for x in docs], np.int64)

@@ -120,6 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def pack(table: pa.Table) -> pa.Table:
+        C.trim()
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         enc, ids, texts = encoder(tokenizer), table.column("id").to_pylist(), table.column("text").to_pylist()
         end = np.array([end_id], enc.dtype).tobytes()

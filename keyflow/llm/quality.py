@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from keyflow.llm import common as C
 from keyflow.llm.substring_dedup import window_hashes
 
-WORD_BITS, PAIR_BITS, CHAR_BITS = 20, 20, 16
+WORD_BITS, PAIR_BITS, CHAR_BITS = 20, 19, 16
 _PAIRS, _CHARS = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
 SIZE = _CHARS + (1 << CHAR_BITS)
 #: Labelled rows that classifiers are trained on, at most: those whose ids have the least hashes.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: A word or pair counts if it is in at least so many training rows, and at most in such a share.
 LEAST_ROWS, MOST_SHARE = 5, 0.25
 #: A text is rejected if it is of low quality, or toxic, with at least these probabilities.
@@ -287,7 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mixed = np.random.default_rng(7).permutation(len(x))
     x = [x[i] for i in mixed]
     low, toxic = (np.array([f(got[i]) for i in mixed]) for f in (lambda r: r.quality == 0, lambda r: r.toxic == 1))
-    return train(x, low), train(x, toxic)
+    models = train(x, low), train(x, toxic)
+    del x, got
+    C.trim()
+    return models
 
 
 SIGNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -320,6 +323,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                     [batch.column(0).slice(i, portion.n), *(pa.array(signs[s], pa.int64()) for s in SIGNS), pa.array(failed), pa.array(low), pa.array(toxic), pa.array(kept)],
                     ["row", *SIGNS, "base_failed", "p_low", "p_toxic", "kept"],
                 )
+        C.trim()
 
     from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 

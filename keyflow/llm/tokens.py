@@ -13,8 +13,10 @@ from array import array
 
 import numpy as np
 
+from keyflow.llm.common import hold
+
 #: Stretches, and parts of them, that a worker keeps ids of; it starts anew when full.
-MEMO_STRETCHES, MEMO_PARTS = 300_000, 600_000
+MEMO_STRETCHES, MEMO_PARTS = 250_000, 500_000
 
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _STRETCH = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -69,6 +71,7 @@ class Encoder:
         return [np.fromiter(map(len, map(get, p)), np.int64, len(p)) // size for p in parts]
 
     def _learn(self, parts: list[list[str]]) -> None:
+        hold(self)
         need = set().union(*parts)
         memo, known, simple = self.memo, self.known, _SIMPLE.fullmatch
         new = [w for w in need if w not in memo]
@@ -101,6 +104,10 @@ class Encoder:
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[w] = array(self.kind, e.ids).tobytes()
 
+    def clear(self) -> None:
+        self.memo.clear()
+        self.known.clear()
+
     def _part(self, text: str) -> bytes:
         """Ids of a few marks or a line's end, pre-tokens of their own."""
         if not text:
