@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyflow.llm.tokens import Encoder, encoder, stretches
+from keyflow.llm.tokens import Encoder, encoder, portions, stretches
 
 #: Stretches in a leaf at first.
 LEAF = 32
@@ -133,18 +133,15 @@ def edit_counts(docs: DataFrame, tokenizer: str, edits: Callable[[str], Iterable
     def count(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            out, texts = [], batch.column(1).to_pylist()
-            parts = [stretches(t) for t in texts]
-            for i in range(0, len(parts), 256):
-                counts = enc.counts(parts[i : i + 256])
-                for key, t, p, c in zip(batch.column(0).to_pylist()[i : i + 256], texts[i : i + 256], parts[i : i + 256], counts, strict=True):
+            for keys, texts in portions(batch):
+                out, parts = [], [stretches(t) for t in texts]
+                for key, t, p, c in zip(keys, texts, parts, enc.counts(parts), strict=True):
                     tree, n = CountTree(t, enc, p, c), 0
                     before = tree.total
                     for edit in edits(t):
                         tree.edit(*edit)
                         n += 1
                     out.append((key, before, tree.total, n, len(p), tree.recoded))
-            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

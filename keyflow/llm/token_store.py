@@ -16,14 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyflow.llm import common as C
-from keyflow.llm.tokens import encoder
+from keyflow.llm.tokens import encoder, portions
 
 MAGIC = b"KFTOKEN1"
 #: Places for each key of a level of the hash.
 _GAMMA = 2
 #: Text to a shard.
 SHARD_BYTES = 64 << 20
-_ENCODE_CHARS = 1 << 20
 
 
 class PerfectHash:
@@ -170,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         with fs.open_output_stream(mine) as out:
             shard = ShardWriter(out, enc.dtype)
             for batch in batches:
-                for ids, texts in _portions(batch):
+                for ids, texts in portions(batch):
                     for key, raw in zip(ids, enc.raw(texts), strict=True):
                         shard.add(key, raw + end)
                         low, high = key if low is None else low, key
@@ -184,19 +183,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     return C.settle(rows.mapInArrow(write, "shard int, path string, documents long, tokens long, low long, high long"), "token-list")
 
 
-def _portions(batch: pa.RecordBatch):
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-        if size > _ENCODE_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def read_tokens(shards: DataFrame) -> DataFrame:
     """(doc_id, start, ids): each document's ids, as little-endian unsigned 32-bit numbers, found through its shard's hash.
 

@@ -18,6 +18,9 @@ from keyflow.llm.common import hold
 #: Stretches, and parts of them, that a worker keeps ids of; it starts anew when full.
 MEMO_STRETCHES, MEMO_PARTS = 250_000, 500_000
 
+#: Characters of texts that are worked on together.
+PORTION_CHARS = 1 << 20
+
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _STRETCH = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
@@ -126,3 +129,17 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def portions(batch):
+    """(keys, texts) of a batch's first two columns, some texts at a time."""
+    keys, texts, size = [], [], 0
+    for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        keys.append(k)
+        texts.append(t)
+        size += len(t)
+        if size > PORTION_CHARS:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
