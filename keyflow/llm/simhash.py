@@ -156,10 +156,3 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = C.settle(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without those that have a smaller id in their component; rows without id stay."""
-    found = simhash_groups(docs, **how)
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
