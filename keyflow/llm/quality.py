@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from keyflow.llm import common as C
 from keyflow.llm.substring_dedup import window_hashes
 
-WORD_BITS, PAIR_BITS, CHAR_BITS = 20, 19, 16
+WORD_BITS, PAIR_BITS, CHAR_BITS = 20, 20, 16
 _PAIRS, _CHARS = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
 SIZE = _CHARS + (1 << CHAR_BITS)
 #: Labelled rows that classifiers are trained on, at most: those whose ids have the least hashes.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 6000
 #: A word or pair counts if it is in at least so many training rows, and at most in such a share.
 LEAST_ROWS, MOST_SHARE = 5, 0.25
 #: A text is rejected if it is of low quality, or toxic, with at least these probabilities.
@@ -260,6 +260,35 @@ def _portions(batch: pa.RecordBatch, column: int):
             held, begin, size = [], i + 1, 0
 
 
+def _screened(counted: DataFrame) -> DataFrame:
+    """counted without the words and pairs that are in too few or too many of its rows, which train() would drop.
+
+    They are counted and dropped in executors: most places are in a row or two, and the driver has no use for them.
+    """
+    n = counted.count()
+
+    def count(batches):
+        for batch in batches:
+            held = [np.frombuffer(p, np.int32) for p in batch.column(0).to_pylist()]
+            place, rows = np.unique(np.concatenate([p[p < _CHARS] for p in held] or [np.zeros(0, np.int32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(rows, pa.int64())], ["place", "n"])
+
+    total = counted.select("places").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    some = np.sort(np.array(total.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") <= MOST_SHARE * n)).select("place").toArrow().column(0), np.int32))
+
+    def cut(batches):
+        keep = np.zeros(SIZE, bool)
+        keep[some] = keep[_CHARS:] = True
+        for batch in batches:
+            places = [np.frombuffer(p, np.int32) for p in batch.column(3).to_pylist()]
+            values = [np.frombuffer(v, np.float32) for v in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:3], pa.array([p[keep[p]].tobytes() for p in places], pa.binary()), pa.array([v[keep[p]].tobytes() for p, v in zip(places, values, strict=True)], pa.binary()),
+            ], ["id", "quality", "toxic", "places", "values"])
+
+    return C.settle(counted.mapInArrow(cut, counted.schema), "screened")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[Classifier, Classifier]:
     """Classifiers of low quality and of toxic texts from at most ``rows`` labelled rows (by the hash of their id).
 
@@ -280,7 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ], ["id", "quality", "toxic", "places", "values"])
 
     labelled = texts.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "body")  # the sample's size is bounded
-    got = sorted(labelled.mapInArrow(features, "id long, quality int, toxic int, places binary, values binary").collect(), key=lambda r: (r[0], r[3]))
+    counted = C.settle(labelled.mapInArrow(features, "id long, quality int, toxic int, places binary, values binary"), "features")
+    got = sorted(_screened(counted).toLocalIterator(), key=lambda r: (r[0], r[3]))
     x = [(np.frombuffer(r.places, np.int32), np.frombuffer(r[4], np.float32)) for r in got]
     if not x:
         return train([], np.zeros(0)), train([], np.zeros(0))
