@@ -13,8 +13,6 @@ from keyflow.llm.tokens import encoder
 #: Text of a shard of the index.
 SHARD_BYTES = 6 << 20
 K1, B = 1.2, 0.75
-#: Terms of a seed that its query has: those that weigh most.
-QUERY_TERMS = 24
 
 
 class Index:
@@ -39,20 +37,17 @@ class Index:
         self.doc_begins = np.append(0, np.cumsum(np.bincount(self.docs, minlength=self.n)))
 
     def query(self, seed: int) -> np.ndarray:
-        """A document's heaviest terms of those that others have too."""
+        """A document's terms that others have too."""
         own = self.by_doc[self.doc_begins[seed] : self.doc_begins[seed + 1]]
-        own = own[self.df[self.number[own]] > 1]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weights[own], QUERY_TERMS)[:QUERY_TERMS]]
-        return self.number[own]
+        number = self.number[own]
+        return number[self.df[number] > 1]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a score, the best first."""
-        score = np.zeros(self.n)
-        for t in self.query(seed).tolist():
-            i = self.begins[t]
-            j = i + self.df[t]
-            score[self.docs[i:j]] += self.weights[i:j]
+        terms = self.query(seed)
+        df = self.df[terms]
+        at = np.arange(df.sum()) + np.repeat(self.begins[terms] - np.cumsum(df) + df, df)  # the postings of all terms
+        score = np.bincount(self.docs[at], self.weights[at], self.n)
         found = np.flatnonzero(unused & (score > 0))
         return found[np.argsort(-score[found], kind="stable")]
 
