@@ -20,15 +20,38 @@ def diff(old: KeyedTable, new: KeyedTable) -> DataFrame:
 replace_all = diff
 
 
+def since_reset(log: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """The changes from the last ``initial`` on, its own rows being inserts; and its place, a row with NULL if there is none.
+
+    A reset replaces all contents: its rows share one place and have op ``initial``; one with a NULL key and a NULL new says
+    that nothing comes in its place.
+    """
+    reset = log.agg(F.max(F.when(F.col("op") == "initial", F.col(order))).alias("__reset"))
+    since = reset.scalar()
+    return log.filter(since.isNull() | (F.col(order) >= since)), reset
+
+
+def _entries(log: DataFrame, key: list[str]) -> DataFrame:
+    """The log without the rows that only say that all is gone."""
+    none = F.col("op") == "initial"
+    for k in key:
+        none = none & F.col(k).isNull()
+    return log.filter(~none)
+
+
 def coalesce(log: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
     """The last change of each key."""
     return log.groupBy(*key).agg(F.max_by(F.struct("op", "new"), order).alias("last")).select(*key, "last.op", "last.new")
 
 
-def apply_changes(state: KeyedTable, log: DataFrame, order: str = "ord") -> KeyedTable:
-    """state after the changes, of which the last of each key holds."""
+def apply_changes(state: KeyedTable, log: DataFrame, order: str = "ord", resets: bool = False) -> KeyedTable:
+    """state after the changes, of which the last of each key holds. resets: whether the log may have ``initial`` rows."""
+    rows = state.df
+    if resets:
+        log, reset = since_reset(log, order)
+        log, rows = _entries(log, state.key), rows.filter(reset.scalar().isNull())
     last = coalesce(log, state.key, order)
-    kept = state.df.join(last.select(*state.key), state.key, "left_anti")
+    kept = rows.join(last.select(*state.key), state.key, "left_anti")
     put = last.filter("op <> 'remove'").select(*state.key, *[F.col(f"new.`{c}`").alias(c) for c in state.values])
     return KeyedTable(kept.unionByName(put.select(*state.df.columns)), state.key)
 
@@ -42,12 +65,20 @@ def remove(state: KeyedTable, keys: DataFrame) -> KeyedTable:
     return KeyedTable(state.df.join(keys.select(*state.key), state.key, "left_anti"), state.key)
 
 
-def effective(state: KeyedTable, log: DataFrame, order: str = "ord") -> DataFrame:
-    """The changes that a coalesced log makes to state: (op, key…, old, new), without those that change nothing."""
-    last = coalesce(log, state.key, order)
+def effective(state: KeyedTable, log: DataFrame, order: str = "ord", resets: bool = False) -> DataFrame:
+    """The changes that a log makes to state, coalesced: (op, key…, old, new), without those that change nothing."""
     old = state.df.select(*state.key, F.struct(*state.values).alias("old"))
-    new = F.when(F.col("op") == "remove", F.lit(None)).otherwise(F.col("new"))
-    joined = last.withColumn("new", new).join(old, state.key, "left").filter(~F.col("old").eqNullSafe(F.col("new")))
+    how, gone = "left", F.lit(False)
+    if resets:
+        log, reset = since_reset(log, order)
+        log, how = _entries(log, state.key), "full"
+        gone = F.col("__op").isNull()  # a row of the state that the log doesn't name goes with a reset only
+    last = coalesce(log, state.key, order).withColumnRenamed("op", "__op")
+    new = F.when(F.col("__op") == "remove", F.lit(None)).otherwise(F.col("new"))
+    joined = last.withColumn("new", new).join(old, state.key, how)
+    if resets:
+        joined = joined.filter(~gone | reset.scalar().isNotNull())
+    joined = joined.filter(~F.col("old").eqNullSafe(F.col("new")))
     op = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "remove").otherwise("update")
     return joined.select(op.alias("op"), *state.key, "old", "new")
 

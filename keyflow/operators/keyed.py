@@ -142,8 +142,8 @@ class KeyedTable:
         kind = right.df.select(F.array(F.struct(*right.key, *right.values)).alias("x")).schema["x"].dataType
         keys = self.df.select(*[F.col(k).alias(f"__{k}") for k in self.key], F.explode(F.array_distinct(left_keys)).alias("__left"))
         pairs = keys.join(right.df.withColumn("__right", right_on), F.col("__left").eqNullSafe(F.col("__right")))
-        own = [f"__{k}" for k in self.key]
-        pairs = pairs.dropDuplicates([*own, *right.key]).groupBy(*own).agg(self.nested(right).alias(name)).toDF(*self.key, name)
+        own = [f"__{k}" for k in self.key]  # a row's keys are distinct and a right row has one: no pair comes twice
+        pairs = pairs.groupBy(*own).agg(self.nested(right).alias(name)).toDF(*self.key, name)
         return self._with(self.df.join(pairs, self.key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind))))
 
     # groups

@@ -7,6 +7,7 @@ value has no such event (``seed=False``): then nothing is left out. The end of t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyflow.functions import results
-from keyflow.operators.fold import fold_sequence
+from keyflow.operators.fold import pick_sequence
 
 
 def _micros(d: timedelta) -> int:
@@ -93,18 +94,18 @@ class EventSeq:
         before = F.lag(F.struct(of.alias("x"))).over(self.w)
         return self._keep(before.isNull() | ~before["x"].eqNullSafe(of))
 
-    def changed_by(self, same: Callable[[object, object], bool], schema: str) -> DataFrame:
+    def changed_by(self, same: Callable[[object, object], bool]) -> DataFrame:
         """Events that aren't ``same`` (current, last one given) as the last one that was given."""
-        at = self.df.columns.index(self.value)
 
-        def step(state, event):
-            if state is not None and same(event[at], state[0]):
-                return state, ()
-            return (event[at],), (event,)
+        def pick(held, columns):
+            chosen = []
+            for i, v in enumerate(columns[0]):
+                if held is None or not same(v, held[0]):
+                    held = (v,)
+                    chosen.append(i)
+            return held, chosen
 
-        names = [c for c in self.df.columns if c not in self.partition]
-        keep = [self.df.columns.index(c) for c in names]
-        return fold_sequence(self.df, self.partition, self.order, schema, lambda: None, lambda s, e: (lambda r: (r[0], [tuple(x[i] for i in keep) for x in r[1]]))(step(s, e)))
+        return pick_sequence(self.df, self.partition, self.order, [self.value], pick)
 
     def distinct(self) -> EventSeq:
         """The first event of each value."""
@@ -269,50 +270,60 @@ class EventSeq:
         return self._with(df.withColumn(name, F.col(self.ts) + _interval(d)))
 
     def delay(self, d: timedelta) -> EventSeq:
-        return self._with(self.df.withColumn(self.ts, F.col(self.ts) + _interval(d)))
+        """Each event so much later; the seed is left out."""
+        out = self.cold()
+        return out._with(out.df.withColumn(self.ts, F.col(self.ts) + _interval(d)))
 
     def timeout(self, d: timedelta) -> EventSeq:
-        """Events as long as none is later than d after the one before; then one row with signal ``error``. Others: ``value``."""
+        """Events as long as none is later than d after the one before; then one row with signal ``error``. Others: ``value``.
+
+        The seed starts the clock, but isn't given.
+        """
         us = F.expr(f"unix_micros(cast({self.ts} as timestamp))")
         df = self.df.withColumn("__gap", us - F.lag(us).over(self.w)).withColumn("__late", F.sum(F.when(F.col("__gap") > _micros(d), 1).otherwise(0)).over(self.upto))
-        df = df.withColumn("__place", F.sum(F.when(F.col("__late") > 0, 1).otherwise(0)).over(self.upto)).filter("__place <= 1")
+        df = df.withColumn("__place", F.sum(F.when(F.col("__late") > 0, 1).otherwise(0)).over(self.upto)).withColumn("__n", self._place())
+        df = df.filter(f"__place <= 1 and __n > {self.seed}")
         late = F.col("__late") > 0
         df = df.withColumn("signal", F.when(late, "error").otherwise("value")).withColumn(self.value, F.when(~late, self._v))
         at = F.timestamp_micros(us - F.col("__gap") + F.lit(_micros(d))).cast(self.df.schema[self.ts].dataType)
-        return self._with(df.withColumn(self.ts, F.when(late, at).otherwise(F.col(self.ts))).drop("__gap", "__late", "__place"))
-
-    def _folded(self, schema: str, init, step, finish=lambda state: ()) -> DataFrame:
-        return fold_sequence(self.df, self.partition, self.order, schema, init, step, finish)
+        df = df.withColumn(self.ts, F.when(late, at).otherwise(F.col(self.ts))).drop("__gap", "__late", "__place", "__n")
+        return self._with(df, seed=False)
 
-    def throttle(self, d: timedelta, schema: str) -> DataFrame:
-        """An event, then none for d; the seed counts. schema: of the partition and the other columns."""
-        size, at = d, self.df.columns.index(self.ts)
-        keep = [i for i, c in enumerate(self.df.columns) if c not in self.partition]
+    def throttle(self, d: timedelta) -> DataFrame:
+        """An event, then none for d; the seed counts."""
+        size = _micros(d)
 
-        def step(last, event):
-            if last is not None and event[at] - last < size:
-                return last, ()
-            return event[at], (tuple(event[i] for i in keep),)
+        def pick(last, columns):
+            t, chosen = columns[0], []
+            i = 0 if last is None else bisect_left(t, last + size)
+            while i < len(t):
+                chosen.append(i)
+                last = t[i]
+                i = bisect_left(t, last + size, i + 1)
+            return last, chosen
 
-        return self._folded(schema, lambda: None, step)
+        return pick_sequence(self.df, self.partition, self.order, [self.ts], pick)
 
-    def audit(self, d: timedelta, schema: str) -> DataFrame:
+    def audit(self, d: timedelta) -> DataFrame:
         """An event opens a stretch of d, at whose end the latest event is given; the seed is left out, and what was given isn't given again at the end."""
-        size, at = d, self.df.columns.index(self.ts)
-        keep = [i for i, c in enumerate(self.df.columns) if c not in self.partition]
-
-        def step(state, event):
-            if state is None:
-                return (None, None), ()
-            end, latest = state
-            now = tuple(event[i] for i in keep)
-            if end is None:
-                return (event[at] + size, now), ()
-            if event[at] < end:
-                return (end, now), ()
-            return (event[at] + size, now), (latest,)
-
-        return self._folded(schema, lambda: None, step, lambda state: (state[1],) if state and state[0] is not None else ())
+        size = _micros(d)
+        df = self.cold().df
+        df = df.withColumn("__after", F.lead(self.ts).over(self.w))
+
+        def pick(opened, columns):
+            t, after = columns
+            chosen = []
+            i = 0
+            while i < len(t):
+                if opened is None or t[i] >= opened + size:
+                    opened = t[i]
+                last = bisect_left(t, opened + size, i) - 1  # of those of the stretch that are here
+                if after[last] is None or after[last] >= opened + size:
+                    chosen.append(last)
+                i = last + 1
+            return opened, chosen
+
+        return pick_sequence(df, self.partition, self.order, [self.ts, "__after"], pick).drop("__after")
 
     # several sequences
 
@@ -372,48 +383,90 @@ class EventSeq:
         b = other.df.select(*self.partition, (other._place() - other.seed).alias("place"), other._v.alias(names[1])).filter("place > 0")
         return a.join(b, [*self.partition, "place"])
 
-    def switch_map(self, inner: EventSeq, names: Sequence[str] = ("outer", "inner")) -> DataFrame:
-        """The inner events under the newest outer event; at an outer event the inner's current value."""
-        return self.join(inner, names=names)
+    def switch_map(self, inner: EventSeq, names: Sequence[str] = ("outer", "inner"), by: str | None = None) -> DataFrame:
+        """The inner events under the newest outer event; at an outer event the current value of its inner sequence.
 
-    def merge_map(self, inner: EventSeq, name: str = "outer") -> DataFrame:
-        """Each inner event once for each outer event up to then: all inner sequences stay open."""
+        by: the column of inner that says for which outer value an event is, so that each outer value has an inner sequence
+        of its own; without it all share one.
+        """
+        if by is None:
+            return self.join(inner, names=names)
+        replay, opened = self._opened(inner, by, names[0])
+        kind = self.df.schema[self.value].dataType
+        outer = self.df.select(*self.partition, *self.order, F.lit(0).alias("src"), self._v.alias(names[0]), F.lit(None).alias("__e"))
+        mine = inner.df.select(*self.partition, *self.order, F.lit(1).alias("src"), F.lit(None).cast(kind).alias(names[0]), F.struct(F.col(by).alias("by"), inner._v.alias("v")).alias("__e"))
+        w = Window.partitionBy(*self.partition).orderBy(*self.order, "src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        now = outer.unionByName(mine).withColumn("__now", F.last(F.when(F.col("src") == 0, F.struct(names[0])), ignorenulls=True).over(w))
+        under = now.filter((F.col("src") == 1) & F.col("__now").isNotNull() & F.col("__e.by").eqNullSafe(F.col("__now")[names[0]]))
+        under = under.select(*self.partition, *self.order, "src", F.col("__now")[names[0]].alias(names[0]), F.col("__e.v").alias(names[1]))
+        first = replay.select(*self.partition, *[F.col(f"outer_{c}").alias(c) for c in self.order], F.lit(0).alias("src"), F.col(names[0]), F.col("__inner")[inner.value].alias(names[1]))
+        return first.unionByName(under)
+
+    def _opened(self, inner: EventSeq, by: str | None, name: str) -> tuple[DataFrame, DataFrame]:
+        """Each outer event with the latest event of its inner sequence before it, as struct ``__inner``, where there is one; and all outer events."""
         outer = self.df.select(*self.partition, *[F.col(c).alias(f"outer_{c}") for c in self.order], self._v.alias(name))
+        columns = [c for c in inner.df.columns if c not in self.partition]
+        key = [] if by is None else ["__by"]
+        a = self.df.select(*self.partition, *self.order, F.lit(0).alias("__src"), *([self._v.alias("__by")] if by else []), self._v.alias(name), F.lit(None).cast(inner.df.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("__inner"))
+        b = inner.df.select(*self.partition, *self.order, F.lit(1).alias("__src"), *([F.col(by).alias("__by")] if by else []), F.lit(None).cast(self.df.schema[self.value].dataType).alias(name), F.struct(*columns).alias("__inner"))
+        w = Window.partitionBy(*self.partition, *key).orderBy(*self.order, "__src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        held = a.unionByName(b).withColumn("__inner", F.last("__inner", ignorenulls=True).over(w)).filter("__src = 0 and __inner is not null")
+        return held.select(*self.partition, *[F.col(c).alias(f"outer_{c}") for c in self.order], name, "__inner"), outer
+
+    def merge_map(self, inner: EventSeq, name: str = "outer", by: str | None = None) -> DataFrame:
+        """Each inner event once for each outer event up to then: all inner sequences stay open.
+
+        An outer event opens its inner sequence, which gives its current value at once: that row has the outer event's
+        order columns, and what else the inner event has. by: as in switch_map.
+        """
+        replay, outer = self._opened(inner, by, name)
         joined = inner.df.join(outer, self.partition)
-        return joined.filter(F.struct(*self.order) >= F.struct(*[F.col(f"outer_{c}") for c in self.order]))
+        later = F.struct(*self.order) >= F.struct(*[F.col(f"outer_{c}") for c in self.order])
+        joined = joined.filter(later if by is None else later & F.col(by).eqNullSafe(F.col(name)))
+        columns = [F.col(f"outer_{c}").alias(c) if c in self.order else F.col(c) if c in self.partition else F.col("__inner")[c].alias(c) for c in inner.df.columns]
+        return joined.unionByName(replay.select(*columns, *[f"outer_{c}" for c in self.order], name))
 
-    def retry(self, n: int, failed: str, schema: str, again: Callable[[object], bool] = lambda value: True) -> DataFrame:
+    def retry(self, n: int, failed: str, again: Callable[[object], bool] = lambda value: True) -> DataFrame:
         """Events of attempts, cut by failures: after n failures in a row, or one that ``again`` declines, the sequence ends with signal ``error``.
 
-        failed: a boolean column. A value sets the count back. The seed is left out. schema: partition, order, value, signal.
+        failed: a boolean column. A value sets the count back. The seed is left out. ``signal``: value or error.
         """
-        columns = self.df.columns
-        bad, v = columns.index(failed), columns.index(self.value)
-        order = [columns.index(c) for c in self.order]
-
-        def step(state, event):
-            if state is None:
-                return (0, False), ()
-            tries, over = state
-            if over:
-                return state, ()
-            row = tuple(event[i] for i in order)
-            if not event[bad]:
-                return (0, False), ((*row, event[v], "value"),)
-            if tries + 1 < n and again(event[v]):
-                return (tries + 1, False), ()
-            return (tries, True), ((*row, event[v], "error"),)
-
-        return self._folded(schema, lambda: None, step)
+
+        def pick(tries, columns):
+            chosen, signals = [], []
+            tries = tries or 0
+            for i, (bad, v) in enumerate(zip(*columns, strict=True)):
+                if tries < 0:  # over
+                    break
+                tries = tries + 1 if bad else 0
+                if bad and tries < n and again(v):
+                    continue
+                chosen.append(i)
+                signals.append("error" if bad else "value")
+                if bad:
+                    tries = -1
+            return tries, chosen, signals
+
+        return pick_sequence(self.cold().df, self.partition, self.order, [failed, self.value], pick, "signal")
 
     # batches
 
-    def batch(self, tick: Column, key: Sequence[str]) -> DataFrame:
-        """The last value of each key in each tick; all of them where the sequence keeps every event."""
+    def batch(self, tick: Column, key: Sequence[str], signal: str | None = None) -> DataFrame:
+        """The last value of each key in each tick; all of them where the sequence keeps every event.
+
+        signal: a column that is ``value`` (or null) for values; other rows end something (``error``, ``complete``), and
+        each of those is given whatever else its tick holds.
+        """
         df = self.df.withColumn("tick", tick)
         if not self.coalesces:
             return df
-        return df.groupBy("tick", *key).agg(F.max_by(self._v, F.struct(*self.order)).alias(self.value))
+        last = F.max_by(self._v, F.struct(*self.order)).alias(self.value)
+        if signal is None:
+            return df.groupBy("tick", *key).agg(last)
+        ends = F.coalesce(F.col(signal), F.lit("value")) != "value"
+        own = F.when(ends, F.struct(*self.order)).alias("__own")  # a group of its own for each that ends something
+        out = df.groupBy("tick", *key, own).agg(last, F.coalesce(F.max(signal), F.lit("value")).alias(signal))
+        return out.drop("__own")
 
     def no_coalesce(self) -> EventSeq:
         return EventSeq(self.df, self.partition, self.order, self.value, self.ts, False, self.seed, self.name)

@@ -39,12 +39,15 @@ def seq_filter(spark, d):
     return _events(spark, d).filter(F.col("value") > 50).df.select(*_KEY, "value")
 
 
-@query("SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase'")
+@query("SELECT count(*) AS seen, max(value) AS most FROM events WHERE event_type = 'purchase'")
 def seq_tap(spark, d):
-    """Events whose number is observed on the way."""
+    """What is observed while the events go by."""
     from pyspark.sql import Observation
 
-    return _events(spark, d, "event_type = 'purchase'").tap(Observation("purchases"), F.count(F.lit(1)).alias("n")).df.select(*_KEY, "value")
+    seen = Observation("purchases")
+    s = _events(spark, d, "event_type = 'purchase'").tap(seen, F.count(F.lit(1)).alias("seen"), F.max("value").alias("most"))
+    s.df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["seen"], seen.get["most"])], "seen long, most double")
 
 
 @query("SELECT user_id, event_id, CASE WHEN value >= 10 THEN round(100 / value, 4) END AS ok, CASE WHEN value < 10 THEN 'small' END AS err FROM events")
@@ -86,7 +89,7 @@ def seq_changed_by(spark, d):
     """A comparison that isn't an equivalence: with the last value that was given."""
     s = _events(spark, d)
     s = EventSeq(s.df.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
-    return s.changed_by(lambda now, last: abs(now - last) < 30, "user_id long, ts timestamp_ntz, event_id long, value double").select(*_KEY, "value")
+    return s.changed_by(lambda now, last: abs(now - last) < 30).select(*_KEY, "value")
 
 
 @query("SELECT user_id, min(event_id) AS event_id, event_type FROM events GROUP BY user_id, event_type")
@@ -231,7 +234,7 @@ r AS (SELECT user_id, event_id, rn, ts AS held, true AS given FROM s WHERE rn =
 SELECT user_id, event_id, held AS ts FROM r WHERE given
 """)
 def seq_throttle(spark, d):
-    return _timed(spark, d).throttle(timedelta(hours=6), "user_id long, ts timestamp_ntz, event_id long").select(*_KEY, "ts")
+    return _timed(spark, d).throttle(timedelta(hours=6)).select(*_KEY, "ts")
 
 
 @query("""
@@ -241,7 +244,7 @@ r AS (SELECT user_id, event_id, rn, n, ts + INTERVAL 6 HOUR AS until, CAST(NULL
 SELECT user_id, given AS event_id FROM r WHERE given IS NOT NULL UNION ALL SELECT user_id, event_id FROM r WHERE rn = n
 """)
 def seq_audit(spark, d):
-    return _timed(spark, d).audit(timedelta(hours=6), "user_id long, ts timestamp_ntz, event_id long").select(*_KEY)
+    return _timed(spark, d).audit(timedelta(hours=6)).select(*_KEY)
 
 
 def _timed(spark, d) -> EventSeq:
@@ -249,14 +252,14 @@ def _timed(spark, d) -> EventSeq:
     return EventSeq(s.df.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "event_id")
 
 
-@query("SELECT user_id, event_id, ts + INTERVAL 90 SECOND AS ts FROM events")
+@query(f"SELECT user_id, event_id, ts + INTERVAL 90 SECOND AS ts FROM {_RN} WHERE rn > 1")
 def seq_delay(spark, d):
     return _events(spark, d).delay(timedelta(seconds=90)).df.select(*_KEY, "ts")
 
 
 @query(f"""WITH g AS (SELECT *, lag(ts) OVER ({_W}) AS b FROM events), l AS (SELECT *, sum(CASE WHEN ts - b > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER {_UPTO} AS late FROM g),
-p AS (SELECT *, sum(CASE WHEN late > 0 THEN 1 ELSE 0 END) OVER {_UPTO} AS place FROM l)
-SELECT user_id, event_id, CASE WHEN late > 0 THEN 'error' ELSE 'value' END AS signal, CASE WHEN late > 0 THEN b + INTERVAL 12 HOUR ELSE ts END AS ts, CASE WHEN late = 0 THEN value END AS value FROM p WHERE place <= 1""")
+p AS (SELECT *, sum(CASE WHEN late > 0 THEN 1 ELSE 0 END) OVER {_UPTO} AS place, row_number() OVER ({_W}) AS rn FROM l)
+SELECT user_id, event_id, CASE WHEN late > 0 THEN 'error' ELSE 'value' END AS signal, CASE WHEN late > 0 THEN b + INTERVAL 12 HOUR ELSE ts END AS ts, CASE WHEN late = 0 THEN value END AS value FROM p WHERE place <= 1 AND rn > 1""")
 def seq_timeout(spark, d):
     return _events(spark, d).timeout(timedelta(hours=12)).df.select(*_KEY, "signal", "ts", "value")
 
@@ -318,9 +321,28 @@ def seq_switch_map(spark, d):
     return _views(spark, d).switch_map(_clicks(spark, d)).select(*_KEY, "outer", "inner")
 
 
-@query("SELECT c.user_id, c.event_id, v.event_id AS outer_event_id FROM events c JOIN events v ON c.user_id = v.user_id AND v.event_type = 'signup' AND c.event_type = 'purchase' AND (c.ts, c.event_id) >= (v.ts, v.event_id)")
+_BY = """WITH o AS (SELECT user_id, ts, event_id, CAST(floor(value / 25) AS BIGINT) AS topic FROM events WHERE event_type = 'view'),
+i AS (SELECT user_id, ts, event_id, value, event_id % 4 AS topic FROM events WHERE event_type = 'click') """
+
+
+@query(_BY + """
+SELECT o.user_id, o.event_id, o.topic AS "outer", (SELECT arg_max(i.value, i.event_id) FROM i WHERE i.user_id = o.user_id AND i.topic = o.topic AND i.event_id < o.event_id) AS "inner" FROM o
+WHERE EXISTS (SELECT 1 FROM i WHERE i.user_id = o.user_id AND i.topic = o.topic AND i.event_id < o.event_id)
+UNION ALL SELECT i.user_id, i.event_id, i.topic, i.value FROM i WHERE i.topic = (SELECT arg_max(o.topic, o.event_id) FROM o WHERE o.user_id = i.user_id AND o.event_id < i.event_id)""")
+def seq_switch_map_by(spark, d):
+    """Views open the sequence of the clicks of their topic, and close the one before."""
+    outer = _views(spark, d).map(F.floor(F.col("value") / 25))
+    inner = _clicks(spark, d)
+    inner = EventSeq(inner.df.withColumn("topic", F.col("event_id") % 4), inner.partition, inner.order)
+    return outer.switch_map(inner, by="topic").select(*_KEY, "outer", "inner")
+
+
+@query("""
+SELECT c.user_id, c.event_id, c.value, v.event_id AS outer_event_id FROM events c JOIN events v ON c.user_id = v.user_id AND v.event_type = 'signup' AND c.event_type = 'purchase' AND c.event_id >= v.event_id
+UNION ALL SELECT v.user_id, v.event_id, arg_max(c.value, c.event_id), v.event_id FROM events c JOIN events v ON c.user_id = v.user_id AND v.event_type = 'signup' AND c.event_type = 'purchase' AND c.event_id < v.event_id GROUP BY ALL
+""")
 def seq_merge_map(spark, d):
-    return _events(spark, d, "event_type = 'signup'").merge_map(_events(spark, d, "event_type = 'purchase'")).select(*_KEY, "outer_event_id")
+    return _events(spark, d, "event_type = 'signup'").merge_map(_events(spark, d, "event_type = 'purchase'")).select(*_KEY, "value", "outer_event_id")
 
 
 @query("""
@@ -334,7 +356,7 @@ def seq_retry(spark, d):
     """Three failures in a row end a user's sequence."""
     s = _events(spark, d)
     s = EventSeq(s.df.select("user_id", "ts", "event_id", "value", (F.col("event_type") == "error").alias("failed")), s.partition, s.order)
-    return s.retry(3, "failed", "user_id long, ts timestamp_ntz, event_id long, value double, signal string").select(*_KEY, "value", "signal")
+    return s.retry(3, "failed").select(*_KEY, "value", "signal")
 
 
 @query("SELECT CAST(floor(event_id / 50) AS BIGINT) AS tick, user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -342,6 +364,16 @@ def seq_batch(spark, d):
     return _events(spark, d).batch(F.floor(F.col("event_id") / 50), ["user_id"]).select("tick", "user_id", "value")
 
 
+@query("""
+SELECT CAST(floor(event_id / 50) AS BIGINT) AS tick, user_id, arg_max(value, event_id) AS value, 'value' AS signal FROM events WHERE event_type <> 'error' GROUP BY 1, 2
+UNION ALL SELECT CAST(floor(event_id / 50) AS BIGINT), user_id, value, 'error' FROM events WHERE event_type = 'error'""")
+def seq_batch_signals(spark, d):
+    """Errors are given one by one, whatever the batch coalesces."""
+    s = _events(spark, d)
+    s = EventSeq(s.df.withColumn("signal", F.when(F.col("event_type") == "error", "error").otherwise("value")), s.partition, s.order)
+    return s.batch(F.floor(F.col("event_id") / 50), ["user_id"], "signal").select("tick", "user_id", "value", "signal")
+
+
 @query("SELECT CAST(floor(event_id / 50) AS BIGINT) AS tick, user_id, event_id FROM events")
 def seq_no_coalesce(spark, d):
     return _events(spark, d).no_coalesce().batch(F.floor(F.col("event_id") / 50), ["user_id"]).select("tick", *_KEY)

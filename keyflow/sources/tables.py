@@ -13,7 +13,7 @@ from keyflow.operators.keyed import KeyedTable
 #: Key columns of the driver's tables; lineitem has none.
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
-    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"],
+    "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"],
     "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
 }
 
@@ -22,6 +22,11 @@ def load(spark: SparkSession, folder: str, name: str) -> KeyedTable:
     return KeyedTable(spark.read.parquet(f"{folder}/{name}.parquet"), KEYS[name], name)
 
 
+def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table without a key."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def interval(spark: SparkSession, start: str, every: timedelta, n: int) -> DataFrame:
     """(tick, ts, elapsed seconds): n ticks from start."""
     us = every // timedelta(microseconds=1)
@@ -37,8 +42,9 @@ def from_iter(spark: SparkSession, values: Sequence, schema: str, every: timedel
 
 
 def live_interval(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
-    """A stream of ticks."""
-    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("tick"), F.col("timestamp").alias("ts"))
+    """A stream of ticks (tick, ts, elapsed seconds by the tick's number)."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.select(F.col("value").alias("tick"), F.col("timestamp").alias("ts"), (F.col("value") / rows_per_second).alias("elapsed"))
 
 
 def live_files(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:

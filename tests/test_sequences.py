@@ -77,12 +77,16 @@ def test_state_transitions(spark):
 def test_timers(spark):
     s = seq(spark, [0, 1, 2, 3, 4], [0, 1, 1, 10, 1])
     assert values(s.debounce(timedelta(seconds=5))) == [2, 4]
-    schema = "p string, ts timestamp_ntz, i int, value int"
-    assert values(s.throttle(timedelta(seconds=2), schema)) == [0, 2, 3]
-    assert values(s.audit(timedelta(seconds=5), schema)) == [2, 4]
+    assert values(s.throttle(timedelta(seconds=2))) == [0, 2, 3]
+    assert values(s.audit(timedelta(seconds=5))) == [2, 4]
     out = s.timeout(timedelta(seconds=5)).df.orderBy("ts").collect()
-    assert [(r.signal, r.value) for r in out] == [("value", 0), ("value", 1), ("value", 2), ("error", None)] and out[-1].ts == T + timedelta(seconds=7)
-    assert s.delay(timedelta(seconds=1)).df.orderBy("i").first().ts == T + timedelta(seconds=1)
+    assert [(r.signal, r.value) for r in out] == [("value", 1), ("value", 2), ("error", None)] and out[-1].ts == T + timedelta(seconds=7)
+    later = s.delay(timedelta(seconds=1)).df.orderBy("i").collect()
+    assert [r.value for r in later] == [1, 2, 3, 4] and later[0].ts == T + timedelta(seconds=2)
+    alone = seq(spark, [7])
+    assert values(alone.delay(timedelta(seconds=1))) == [] and values(alone.timeout(timedelta(seconds=1))) == []
+    late = seq(spark, [0, 1], [0, 9]).timeout(timedelta(seconds=5)).df.collect()
+    assert [(r.signal, r.value, r.ts) for r in late] == [("error", None, T + timedelta(seconds=5))]
 
 
 def test_combinations(spark):
@@ -94,18 +98,30 @@ def test_combinations(spark):
     assert values(a.merge(b)) == [10, 2, 20, 3]
     assert values(a.concat(seq(spark, [7, 8, 9], [0, 1, 9]))) == [1, 2, 3, 9]
     assert [(r.left, r.right) for r in a.zip(b).collect()] == [(2, 20)]
-    assert sorted((r.outer, r.value) for r in a.merge_map(b, "outer").collect()) == [(1, 10), (1, 20), (2, 20)]
+    assert sorted((r.ts, r.outer, r.value) for r in a.merge_map(b, "outer").collect()) == [
+        (T + timedelta(seconds=t), o, v) for t, o, v in [(1, 1, 10), (2, 2, 10), (3, 1, 20), (3, 2, 20), (4, 3, 20)]
+    ]
+
+
+def test_each_outer_value_has_its_own_inner_sequence(spark):
+    outer = seq(spark, [1, 2, 1], [0, 2, 4])  # at 0, 2 and 6
+    rows = [("p", T + timedelta(seconds=t), 100 + t, v, k) for t, v, k in [(1, 10, 1), (3, 11, 1), (4, 20, 2), (5, 12, 1), (7, 13, 1)]]
+    inner = EventSeq(spark.createDataFrame(rows, "p string, ts timestamp_ntz, i int, value int, k int"), ["p"], ["ts", "i"])
+    got = outer.switch_map(inner, by="k").orderBy("ts").collect()
+    assert [((r.ts - T).seconds, r.outer, r.inner) for r in got] == [(1, 1, 10), (4, 2, 20), (6, 1, 12), (7, 1, 13)]
+    got = outer.merge_map(inner, by="k").collect()
+    assert sorted(((r.ts - T).seconds, r.outer, r.value) for r in got) == [(1, 1, 10), (3, 1, 11), (4, 2, 20), (5, 1, 12), (6, 1, 12), (7, 1, 13), (7, 1, 13)]
 
 
 def test_comparison_with_what_was_given(spark):
-    out = seq(spark, [0, 2, 4, 5, 9]).changed_by(lambda now, last: abs(now - last) < 3, "p string, ts timestamp_ntz, i int, value int")
+    out = seq(spark, [0, 2, 4, 5, 9]).changed_by(lambda now, last: abs(now - last) < 3)
     assert values(out) == [0, 4, 9]
 
 
 def test_retry(spark):
     df = spark.createDataFrame([("p", i, v, v < 0) for i, v in enumerate([0, -1, 1, -1, -1, 2])], "p string, i int, value int, failed boolean")
     s = EventSeq(df, ["p"], ["i"])
-    out = s.retry(2, "failed", "p string, i int, value int, signal string").orderBy("i").collect()
+    out = s.retry(2, "failed").orderBy("i").collect()
     assert [(r.value, r.signal) for r in out] == [(1, "value"), (-1, "error")]
 
 
@@ -125,3 +141,60 @@ def test_a_source_has_no_seed(spark):
     assert values(s.cold()) == [1, 2, 3] and values(s.drop_newest(2)) == [1, 2] and values(s.first().last()) == [1]
     assert [r.buffer for r in s.buffer_count(2).orderBy("chunk").collect()] == [[1, 2], [3]]
     assert values(s.merge(s.take(1))) == [1, 1, 2, 3]
+
+
+def test_folds_keep_values_exact(spark):
+    from decimal import Decimal
+
+    from keyflow.operators.fold import fold_sequence
+
+    big = 9007199254740993
+    rows = [("p", 0, big, float("nan"), Decimal("1.10"), T), ("p", 1, None, 1.0, None, None), ("q", 0, big, None, Decimal("2.00"), T)]
+    kinds = "p string, i int, n long, x double, d decimal(10,2), ts timestamp_ntz"
+    df = spark.createDataFrame(rows, kinds)
+    out = fold_sequence(df, ["p"], ["i"], kinds, lambda: 0, lambda s, e: (s + 1, [e[1:]])).orderBy("p", "i").collect()
+    assert [tuple(r)[:3] + tuple(r)[4:] for r in out] == [r[:3] + r[4:] for r in rows]
+    assert out[0].x != out[0].x and [r.x for r in out[1:]] == [1.0, None]
+    kept = EventSeq(df, ["p"], ["i"], "n").changed_by(lambda now, last: now == last).orderBy("p", "i").collect()
+    assert [r.n for r in kept] == [big, None, big] and kept[0].x != kept[0].x and kept[0].d == Decimal("1.10")
+
+
+def test_timers_over_many_batches(spark):
+    """Against a plain loop, with sequences longer than an Arrow batch."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for p in ("a", "b", "c"):
+        at = 0
+        for i in range(400):
+            at += rng.choice([0, 1, 1, 2, 9])
+            rows.append((p, T + timedelta(seconds=at), i, i))
+    s = EventSeq(spark.createDataFrame(rows, "p string, ts timestamp_ntz, i int, value int"), ["p"], ["ts", "i"])
+    throttled, audited = [], []
+    for p in ("a", "b", "c"):
+        last, end, held = None, None, None
+        for n, (_, t, i, _) in enumerate(r for r in rows if r[0] == p):
+            if last is None or t - last >= timedelta(seconds=6):
+                last = t
+                throttled.append((p, i))
+            if n and end is not None and t < end:
+                held = i
+            elif n:
+                if held is not None:
+                    audited.append((p, held))
+                end, held = t + timedelta(seconds=6), i
+        audited.append((p, held))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert sorted((r.p, r.i) for r in s.throttle(timedelta(seconds=6)).collect()) == sorted(throttled)
+        assert sorted((r.p, r.i) for r in s.audit(timedelta(seconds=6)).collect()) == sorted(audited)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ends_are_never_coalesced(spark):
+    rows = [("p", 0, 1, "value"), ("p", 1, 2, "value"), ("p", 2, 3, "error"), ("p", 3, 4, None), ("p", 4, 5, "error"), ("p", 5, 6, "complete")]
+    s = EventSeq(spark.createDataFrame(rows, "p string, i int, value int, signal string"), ["p"], ["i"])
+    got = s.batch(F.lit(0), ["p"], "signal").collect()
+    assert sorted((r.value, r.signal) for r in got) == [(3, "error"), (4, "value"), (5, "error"), (6, "complete")]
