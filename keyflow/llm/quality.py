@@ -1,37 +1,45 @@
 """Quality rules: countable signs of a text, and logistic regression on hashed word and character n-grams.
 
-Two classifiers of the same features are trained on labelled rows: low quality and toxic. Features: words and pairs of
-words that a text has, hashed, if they are neither too rare nor too common among the training rows; and the share that
-each hashed character trigram (of UTF-8 bytes) has. Margins are turned into probabilities on rows kept out of training.
+Two classifiers of the same features are trained on labelled rows: low quality and toxic. Features: words, pairs of words and
+beginnings of words that a text has, hashed; and the share that each hashed character trigram (of UTF-8 bytes) has. All
+features count: each is scaled by how clearly it tells the classes apart in the training rows, and regression with an L2
+penalty does the rest. Margins are turned into probabilities on rows kept out of training.
+
+Counting features, training and calibration are tasks of executors, which read the training rows' features a few at a time;
+the driver handles neither texts nor features nor weights.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyflow.llm import common as C
 from keyflow.llm.substring_dedup import window_hashes
 
-WORD_BITS, PAIR_BITS, CHAR_BITS = 20, 20, 16
-_PAIRS, _CHARS = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
+WORD_BITS, PAIR_BITS, START_BITS, CHAR_BITS = 20, 20, 20, 16
+#: Beginnings of words of these lengths, in characters, are features.
+STARTS = (3, 4, 5, 6)
+_PAIRS = 1 << WORD_BITS
+_STARTS = _PAIRS + (1 << PAIR_BITS)
+_CHARS = _STARTS + (1 << START_BITS)
 SIZE = _CHARS + (1 << CHAR_BITS)
 #: Labelled rows that classifiers are trained on, at most: those whose ids have the least hashes.
 TRAIN_ROWS = 6000
-#: A word or pair counts if it is in at least so many training rows, and at most in such a share.
-LEAST_ROWS, MOST_SHARE = 5, 0.25
 #: A text is rejected if it is of low quality, or toxic, with at least these probabilities.
 LOW_QUALITY, TOXIC = 0.5, 0.5
-#: A feature counts if it tells the classes apart by so many standard deviations.
-SCREEN = 4.0
 _CHAR_SCALE = 30.0
-_L2 = 2e-4
+_L2 = 2e-5
 _ODD = 0x8CB92BA72F3D8DD7
 _PORTION = 1 << 20
+#: Training rows that are held at a time.
+_CHUNK = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -41,7 +49,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass
 class Classifier:
-    """Weights where they aren't zero, and the line that turns a margin into log odds."""
+    """The weights of the features that training rows have, and the line that turns a margin into log odds."""
 
     places: np.ndarray
     weights: np.ndarray
@@ -50,11 +58,26 @@ class Classifier:
     offset: float
 
     def dense(self) -> np.ndarray:
-        w = np.zeros(SIZE, np.float64)
+        w = np.zeros(SIZE, np.float32)
         w[self.places] = self.weights
         return w
 
 
+class _Starts(dict):
+    """The places of a word's beginnings, memoised."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= 100_000:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        hashed = (xxhash.xxh3_64_intdigest(text[:n].encode(), n) for n in STARTS if n <= len(text))
+        out = self[word] = tuple(_STARTS + (h >> (64 - START_BITS)) for h in hashed)
+        return out
+
+
+_STARTS_OF = _Starts()
+
+
 class Portion:
     """Some texts with what is counted in them, worked out together."""
 
@@ -98,12 +121,22 @@ class Portion:
         return {"n_words": self.n_words, "word_chars": letters, "n_symbols": symbols, "n_dup_lines": np.array(copies, np.int64), "n_repeat_words": repeat}
 
     def present(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, place) of each distinct hashed word and pair of a text."""
-        flat = C.word_hashes([w for x in self.split for w in b" ".join(x).lower().split()])
+        """(text, place) of each distinct hashed word, pair of words and beginning of a word of a text."""
+        words = [w for x in self.split for w in b" ".join(x).lower().split()]
+        flat = C.word_hashes(words)
         word = (C.mix(flat, 11) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         at = self._within(2)
         pair = (C.mix(window_hashes(flat, 2, _ODD)[at], 12) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + _PAIRS if len(at) else at
-        key = np.unique(np.concatenate([self.doc * SIZE + word, self.doc[at] * SIZE + pair]))
+        _, first, number = np.unique(flat, return_index=True, return_inverse=True)
+        own = np.unique(self.doc * (len(first) + 1) + number)  # each text's distinct words
+        starts = [_STARTS_OF[words[i]] for i in first.tolist()]
+        sizes = np.array([len(x) for x in starts], np.int64)
+        flat_starts = np.array([h for x in starts for h in x], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        doc, number = own // (len(first) + 1), own % (len(first) + 1)
+        per = sizes[number]
+        place = flat_starts[np.arange(per.sum()) + np.repeat(begin[number] - np.cumsum(per) + per, per)] if len(own) else own
+        key = np.unique(np.concatenate([self.doc * SIZE + word, self.doc[at] * SIZE + pair, np.repeat(doc, per) * SIZE + place]))
         return key // SIZE, key % SIZE
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -169,75 +202,94 @@ def _minimise(f, x: np.ndarray, steps: int = 80) -> np.ndarray:
     return x
 
 
-_CHUNK = 256
+class TrainingRows:
+    """Labelled rows' features, read as often as needed, a few rows at a time; read() gives rows of (places, values, low, toxic, kept out of training)."""
 
+    def __init__(self, read: Callable[[], Iterable[tuple]]):
+        self.read = read
 
-def _chunks(rows: list[tuple[np.ndarray, np.ndarray]]):
-    """(place, value, row) of some rows at a time, so that few are held in full width."""
-    for i in range(0, len(rows), _CHUNK):
-        some = rows[i : i + _CHUNK]
-        yield np.concatenate([p for p, _ in some]).astype(np.int64), np.concatenate([v for _, v in some]), np.repeat(np.arange(i, i + len(some)), [len(p) for p, _ in some])
+    def chunks(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(place, value, row within, low, toxic, kept out) of some rows."""
+        held: list[tuple] = []
+        for row in self.read():
+            held.append(row)
+            if len(held) == _CHUNK:
+                yield self._joined(held)
+                held = []
+        if held:
+            yield self._joined(held)
 
+    @staticmethod
+    def _joined(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        place, value = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows])
+        return place, value, np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), *(np.array([r[i] for r in rows], bool) for i in (2, 3, 4))
 
-def _apart(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have each feature; and how clearly it tells the used rows' classes apart, in standard deviations of what chance gives.
 
-    Words and pairs: the root of the likelihood ratio of having it; trigrams: the means' distance in standard errors.
+def clearness(rows: TrainingRows, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of the rows that are trained on, how clearly each tells the classes apart, and both classes' numbers of rows.
+
+    Words, pairs and beginnings: the root of the likelihood ratio of having it; trigrams: the means' distance in standard
+    errors. Both are near 1 for what chance gives.
     """
-    df, has = np.zeros(SIZE, np.int32), np.zeros((2, SIZE), np.int32)
-    sums = np.zeros((2, 2, SIZE - _CHARS))
-    for place, value, row in _chunks(rows):
-        df += np.bincount(place, minlength=SIZE).astype(np.int32)
-        for k, own in enumerate((wrong & used, ~wrong & used)):
+    has, sums, n = np.zeros((2, SIZE), np.int32), np.zeros((2, 2, SIZE - _CHARS)), np.zeros(2, np.int64)
+    for place, value, row, *label, out in rows.chunks():
+        for k in (0, 1):
+            own = (label[which] == bool(k)) & ~out
+            n[k] += own.sum()
             at = own[row]
             has[k] += np.bincount(place[at], minlength=SIZE).astype(np.int32)
             at &= place >= _CHARS
             for power in (1, 2):
-                sums[k, power - 1] += np.bincount(place[at] - _CHARS, value[at] ** power, SIZE - _CHARS)
-    n = np.maximum([(wrong & used).sum(), (~wrong & used).sum()], 1)
-    mean = sums[:, 0] / n[:, None]
-    error = ((sums[:, 1] / n[:, None] - mean**2).clip(0) / n[:, None]).sum(axis=0) + 1e-12
+                sums[k, power - 1] += np.bincount(place[at] - _CHARS, value[at].astype(np.float64) ** power, SIZE - _CHARS)
+    names = np.flatnonzero(has.sum(axis=0))
+    has, m = has[:, names], np.maximum(n, 1)
     both = np.maximum(has.sum(axis=0), 1)
-    ratio = sum(2 * h * np.log(np.maximum(h, 1) / (both * p)) for h, p in zip(has, n / n.sum(), strict=True))
+    ratio = sum(2 * h * np.log(np.maximum(h, 1) / (both * p)) for h, p in zip(has, m / m.sum(), strict=True))
     clear = np.sqrt(np.maximum(ratio, 0))
-    clear[_CHARS:] = np.abs(mean[0] - mean[1]) / np.sqrt(error)
-    return df, clear
+    mean = sums[:, 0] / m[:, None]
+    error = ((sums[:, 1] / m[:, None] - mean**2).clip(0) / m[:, None]).sum(axis=0) + 1e-12
+    chars = names >= _CHARS
+    clear[chars] = (np.abs(mean[0] - mean[1]) / np.sqrt(error))[names[chars] - _CHARS]
+    return names, clear, n
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Classifier:
-    """A classifier of wrong (0 or 1) from features; every fourth row is kept for turning margins into probabilities.
+def train(rows: TrainingRows, which: int) -> Classifier:
+    """A classifier of label ``which`` (0: low quality, 1: toxic). Rows kept out of training turn margins into probabilities.
 
-    Where one class is missing it gives the share of the other (smoothed) for every text.
+    Where one class is missing it gives the share of the other (smoothed) for every text, and has no features.
     """
-    wrong = np.asarray(wrong, np.float64)
-    n = len(rows)
-    if not 0 < wrong.sum() < n:
-        odds = np.log((wrong.sum() + 0.5) / (n - wrong.sum() + 0.5))
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, float(odds))
-    fit_row = np.arange(n) % 4 != 3
-    df, clear = _apart(rows, wrong > 0, fit_row)
-    keep = (df >= LEAST_ROWS) & ((df <= MOST_SHARE * n) | (np.arange(SIZE) >= _CHARS)) & (clear >= SCREEN)
-    names = np.flatnonzero(keep)
-    number = np.full(SIZE, -1)
-    number[names] = np.arange(len(names))
-    parts = [(number[p[u]], v[u], r[u]) for p, v, r in _chunks(rows) for u in [keep[p]]]
-    place, value, row = (np.concatenate(c) for c in zip(*parts, strict=True))
-    size = len(names)
-
-    def margins(x: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * x[:size][place], n) + x[size]
-
-    weight = np.where(fit_row, 1.0 / fit_row.sum(), 0.0)
+    names, clear, n = clearness(rows, which)
+    if not n.all():
+        return Classifier(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, float(np.log((n[1] + 0.5) / (n[0] + 0.5))))
+    scale = (clear / np.sort(clear)[-20:].mean()).astype(np.float32)
+    number = np.full(SIZE, len(names), np.int32)
+    number[names] = np.arange(len(names), dtype=np.int32)
+    scale, size, total = np.append(scale, np.float32(0)), len(names), int(n.sum())  # the last place is for what training rows don't have
+
+    def passes(x: np.ndarray) -> Iterator[tuple]:
+        for place, value, row, *label, out in rows.chunks():
+            at = number[place]
+            scaled = value * scale[at]
+            yield at, scaled, row, np.bincount(row, scaled * x[:size].take(at, mode="clip"), len(out)) + x[size], label[which], out
 
     def loss(x: np.ndarray):
-        z = margins(x)
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        r = weight * (p - wrong)
-        value_ = weight @ np.logaddexp(0, np.where(wrong > 0, -z, z)) + _L2 / 2 * (x[:size] @ x[:size])
-        return value_, np.append(np.bincount(place, value * r[row], size) + _L2 * x[:size], r.sum())
+        value, g = _L2 / 2 * float(x[:size] @ x[:size]), np.append(_L2 * x[:size], 0.0)
+        for at, scaled, row, z, wrong, out in passes(x):
+            w = np.where(out, 0.0, 1 / total)
+            r = w * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - wrong)
+            value += float(w @ np.logaddexp(0, np.where(wrong, -z, z)))
+            g[:size] += np.bincount(at, scaled * r[row], size + 1)[:size]
+            g[size] += r.sum()
+        return value, g
 
     x = _minimise(loss, np.zeros(size + 1))
-    z, y = margins(x)[~fit_row], wrong[~fit_row]
+    z, y = (np.concatenate(c) for c in zip(*[(z[out], wrong[out]) for *_, z, wrong, out in passes(x)], strict=True))
+    slope, offset = _calibrated(z, y.astype(np.float64)) if 0 < y.sum() < len(y) else (1.0, 0.0)
+    return Classifier(names, (x[:size] * scale[:size]).astype(np.float32), float(x[size]), slope, offset)
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The line that turns margins into log odds."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
 
     def line(ab: np.ndarray):
@@ -246,7 +298,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], wrong: np.ndarray) -> Class
         return float(np.sum(np.logaddexp(0, m) - target * m)), np.array([np.sum((p - target) * z), np.sum(p - target)])
 
     slope, offset = _minimise(line, np.array([1.0, 0.0]))
-    return Classifier(names, x[:size], float(x[size]), float(slope), float(offset))
+    return float(slope), float(offset)
 
 
 def _portions(batch: pa.RecordBatch, column: int):
@@ -260,42 +312,34 @@ def _portions(batch: pa.RecordBatch, column: int):
             held, begin, size = [], i + 1, 0
 
 
-def _screened(counted: DataFrame) -> DataFrame:
-    """counted without the words and pairs that are in too few or too many of its rows, which train() would drop.
+_MODEL = "which int, places binary, weights binary, bias double, slope double, offset double"
 
-    They are counted and dropped in executors: most places are in a row or two, and the driver has no use for them.
-    """
-    n = counted.count()
-
-    def count(batches):
-        for batch in batches:
-            held = [np.frombuffer(p, np.int32) for p in batch.column(0).to_pylist()]
-            place, rows = np.unique(np.concatenate([p[p < _CHARS] for p in held] or [np.zeros(0, np.int32)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(rows, pa.int64())], ["place", "n"])
 
-    total = counted.select("places").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    some = np.sort(np.array(total.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") <= MOST_SHARE * n)).select("place").toArrow().column(0), np.int32))
+def _stored_rows(folder: str) -> Iterator[tuple]:
+    """The training rows in a folder, in the order of its files."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as filesystems
 
-    def cut(batches):
-        keep = np.zeros(SIZE, bool)
-        keep[some] = keep[_CHARS:] = True
-        for batch in batches:
-            places = [np.frombuffer(p, np.int32) for p in batch.column(3).to_pylist()]
-            values = [np.frombuffer(v, np.float32) for v in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:3], pa.array([p[keep[p]].tobytes() for p in places], pa.binary()), pa.array([v[keep[p]].tobytes() for p, v in zip(places, values, strict=True)], pa.binary()),
-            ], ["id", "quality", "toxic", "places", "values"])
-
-    return C.settle(counted.mapInArrow(cut, counted.schema), "screened")
+    fs, at = C.filesystem(folder)
+    for info in sorted(fs.get_file_info(filesystems.FileSelector(at)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(_CHUNK):
+                    quality, toxic, out, places, values = (batch.column(c).to_pylist() for c in ("quality", "toxic", "out", "places", "values"))
+                    for q, t, o, p, v in zip(quality, toxic, out, places, values, strict=True):
+                        yield np.frombuffer(p, np.int32), np.frombuffer(v, np.float32), q == 0, t == 1, o
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[Classifier, Classifier]:
-    """Classifiers of low quality and of toxic texts from at most ``rows`` labelled rows (by the hash of their id).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> str:
+    """The folder of classifiers of low quality and of toxic texts, trained on at most ``rows`` labelled rows (by the hash of their id).
 
     labels: id, quality (0: low), toxic (1: toxic); rows with a null are left out; of repeated ids the worst label holds.
+    One row in four is kept out of training.
     """
+    spark = docs.sparkSession
     sample = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     sample = sample.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = sample.withColumn("out", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(4)) == 3)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
     def features(batches):
@@ -306,23 +350,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([
                     cut.column(0), cut.column(1), cut.column(2),
                     pa.array([p.astype(np.int32).tobytes() for p, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary()),
-                ], ["id", "quality", "toxic", "places", "values"])
-
-    labelled = texts.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "body")  # the sample's size is bounded
-    counted = C.settle(labelled.mapInArrow(features, "id long, quality int, toxic int, places binary, values binary"), "features")
-    got = sorted(_screened(counted).toLocalIterator(), key=lambda r: (r[0], r[3]))
-    x = [(np.frombuffer(r.places, np.int32), np.frombuffer(r[4], np.float32)) for r in got]
-    if not x:
-        return train([], np.zeros(0)), train([], np.zeros(0))
-    mixed = np.random.default_rng(7).permutation(len(x))
-    x = [x[i] for i in mixed]
-    low, toxic = (np.array([f(got[i]) for i in mixed]) for f in (lambda r: r.quality == 0, lambda r: r.toxic == 1))
-    models = train(x, low), train(x, toxic)
-    del x, got
-    C.trim()
+                ], ["quality", "toxic", "out", "places", "values"])
+
+    at, models = C.new_folder(spark, "features"), C.new_folder(spark, "classifiers")
+    labelled = texts.join(F.broadcast(sample), "id").select("quality", "toxic", "out", "body")  # the sample's size is bounded
+    labelled.mapInArrow(features, "quality int, toxic int, out boolean, places binary, values binary").write.parquet(at)
+
+    def learn(batches):
+        for batch in batches:
+            for which in batch.column(0).to_pylist():
+                m = train(TrainingRows(lambda: _stored_rows(at)), which)
+                C.trim()
+                yield pa.RecordBatch.from_pydict({
+                    "which": pa.array([which], pa.int32()), "places": [m.places.astype(np.int32).tobytes()], "weights": [m.weights.astype(np.float32).tobytes()],
+                    "bias": [m.bias], "slope": [m.slope], "offset": [m.offset],
+                })
+
+    spark.range(2, numPartitions=2).select(F.col("id").cast("int").alias("which")).mapInArrow(learn, _MODEL).write.parquet(models)
     return models
 
 
+def classifiers(folder: str) -> list[Classifier]:
+    """The classifiers in a folder: low quality, toxic."""
+    import pyarrow.dataset as ds
+
+    fs, at = C.filesystem(folder)
+    rows = sorted(ds.dataset(at, filesystem=fs, format="parquet").to_table().to_pylist(), key=lambda r: r["which"])
+    return [Classifier(np.frombuffer(r["places"], np.int32), np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], r["offset"]) for r in rows]
+
+
 SIGNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -331,17 +387,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Null text: no words (base_failed). Null and repeated ids, and ids without labels, keep their rows. No labels: the
     classifiers say that half of all texts are wrong, and p_low and p_toxic don't reject. A column called ``quality`` is
-    replaced. No rows: no rows.
+    replaced. No rows: no rows. Labels with a null are left out; of an id's labels the worst holds; labels without a text
+    aren't used.
     """
     docs = docs.drop("quality")
-    models = fit(docs, labels, id_col, text_col, rows)
+    folder = fit(docs, labels, id_col, text_col, rows)
     schema = docs.schema
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     ready: list = []
 
     def judge(batches):
         if not ready:
-            ready.extend((m, m.dense()) for m in models)
+            ready.extend((m, m.dense()) for m in classifiers(folder))
         for batch in batches:
             for i, portion in _portions(batch, 1):
                 signs = portion.signs()

@@ -42,29 +42,6 @@ def test_signs(spark):
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
 
 
-def test_classifiers_on_labels_kept_from_training(spark):
-    """Trained on the labels of even ids, judged on the odd ones."""
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").distinct()
-    models = quality.fit(docs, labels.filter("doc_id % 2 = 0"))
-    rows = docs.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("text", "quality", "toxic").collect()
-    low, toxic = quality.Portion([r.text.encode() for r in rows]).probabilities([(m, m.dense()) for m in models])
-    is_low, is_toxic = np.array([r.quality == 0 for r in rows]), np.array([r.toxic == 1 for r in rows])
-    assert ((low >= 0.5) == is_low).mean() > 0.93
-    assert ((toxic >= 0.5) == is_toxic).mean() > 0.9
-    assert (low[~is_low] >= 0.5).mean() < 0.03 and (toxic[~is_toxic] >= 0.5).mean() < 0.03
-
-
-def test_calibration_is_a_probability():
-    rng = np.random.default_rng(5)
-    x = [(np.sort(rng.choice(50, 8, replace=False)), np.ones(8)) for _ in range(2000)]
-    y = np.array([rng.random() < (0.9 if 3 in p else 0.2) for p, _ in x])
-    m = quality.train(x, y)
-    w = m.dense()
-    p = np.array([1 / (1 + np.exp(-(m.slope * (m.bias + w[a].sum()) + m.offset))) for a, _ in x])
-    has = np.array([3 in a for a, _ in x])
-    assert abs(p[has].mean() - 0.9) < 0.06 and abs(p[~has].mean() - 0.2) < 0.06
-
-
 def _best(item, text):
     row = np.zeros(len(text) + 1, int)
     for c in item:
