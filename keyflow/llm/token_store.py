@@ -2,8 +2,8 @@
 
 A shard holds documents in ascending order of their keys: raw little-endian ids, then for each record its key and count,
 then the hash: levels of bit sets (a key belongs to the first level where it is alone at its place), whose ranks number
-the keys without gaps, and for each number a fingerprint of the key and the place of its ids. A lookup reads a bit in
-one or a few levels, a rank, a fingerprint, and the ids.
+the keys without gaps, and for each number a fingerprint of the key and the place of its first record. A lookup reads a word
+of bits in one or a few levels, a rank, a fingerprint, a place, and the record: as much for a large shard as for a small one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyflow.llm import common as C
@@ -93,7 +93,7 @@ class ShardWriter:
         slot = mph.number(distinct)
         prints, places = np.zeros(len(first), "<u4"), np.zeros(len(first), "<i8")
         prints[slot], places[slot] = key_print(distinct), first
-        parts = {"keys": keys, "known": known.view(np.uint8), "counts": counts, "begins": begins.astype("<i8"), "bits": mph.bits, "prints": prints, "places": places}
+        parts = {"keys": keys, "known": known.view(np.uint8), "counts": counts, "begins": begins.astype("<i8"), "bits": mph.bits, "ranks": mph.before.astype("<i8"), "prints": prints, "places": places}
         head = json.dumps({"dtype": self.dtype.str, "ids": int(counts.sum()), "levels": mph.sizes, "parts": [[k, v.dtype.str, len(v)] for k, v in parts.items()]}).encode()
         for v in parts.values():
             self.out.write(v.tobytes())
@@ -102,7 +102,7 @@ class ShardWriter:
 
 
 class Shard:
-    """Keyed access to a shard; file: something seekable."""
+    """Keyed access to a shard; file: something seekable. Opening reads the head alone."""
 
     def __init__(self, file):
         self.file = file
@@ -113,36 +113,70 @@ class Shard:
             raise ValueError("not a token shard")
         file.seek(end - 16 - size)
         head = json.loads(file.read(size))
-        self.dtype = np.dtype(head["dtype"])
-        parts, at = {}, len(MAGIC) + head["ids"] * self.dtype.itemsize
-        file.seek(at)
+        self.dtype, self.levels = np.dtype(head["dtype"]), head["levels"]
+        self.parts, at = {}, len(MAGIC) + head["ids"] * self.dtype.itemsize
         for name, kind, n in head["parts"]:
-            parts[name] = np.frombuffer(file.read(n * np.dtype(kind).itemsize), kind)
-        self.keys, self.known, self.counts, self.begins = parts["keys"], parts["known"].astype(bool), parts["counts"], parts["begins"]
-        self.prints, self.places = parts["prints"], parts["places"]
-        self.mph = PerfectHash(parts["bits"], head["levels"])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first record of each key; -1 where the fingerprint says that it isn't here."""
-        keys = np.asarray(keys, np.int64).view(np.uint64)
-        slot = self.mph.number(keys)
-        if not len(self.prints):
-            return slot
-        ok = (slot >= 0) & (self.prints[slot] == key_print(keys))
-        return np.where(ok, self.places[slot], -1)
-
-    def ids(self, record: int) -> np.ndarray:
-        self.file.seek(len(MAGIC) + int(self.begins[record]) * self.dtype.itemsize)
-        return np.frombuffer(self.file.read(int(self.counts[record]) * self.dtype.itemsize), self.dtype)
+            self.parts[name] = at, np.dtype(kind), n
+            at += n * np.dtype(kind).itemsize
+
+    def read(self, name: str, begin: int = 0, n: int | None = None) -> np.ndarray:
+        """Some of a part of the index, or all of it."""
+        at, kind, size = self.parts[name]
+        n = size - begin if n is None else n
+        self.file.seek(at + begin * kind.itemsize)
+        return np.frombuffer(self.file.read(n * kind.itemsize), kind)
+
+    def place(self, key: int) -> int:
+        """The first record of a key, by a few reads; -1 where the fingerprint says that it isn't here."""
+        one, begin = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self.levels):
+            at = int(PerfectHash._at(one, level, size)[0])
+            word = int(self.read("bits", begin + (at >> 6), 1)[0])
+            if word >> (at & 63) & 1:
+                slot = int(self.read("ranks", begin + (at >> 6), 1)[0]) + (word & ((1 << (at & 63)) - 1)).bit_count()
+                same = self.read("prints", slot, 1)[0] == key_print(one)[0]
+                return int(self.read("places", slot, 1)[0]) if same else -1
+            begin += size
+        return -1
 
     def get(self, key: int) -> list[np.ndarray]:
-        """The ids of the documents with that key."""
-        at, out = int(self.find(np.array([key]))[0]), []
-        while 0 <= at < len(self.keys) and self.keys[at] == key and self.known[at]:
-            out.append(self.ids(at))
+        """The ids of the documents with that key: its first record's and those of the records after it that have the key too."""
+        at, out = self.place(key), []
+        while 0 <= at < self.parts["keys"][2] and self.read("keys", at, 1)[0] == key and self.read("known", at, 1)[0]:
+            begin, n = int(self.read("begins", at, 1)[0]), int(self.read("counts", at, 1)[0])
+            self.file.seek(len(MAGIC) + begin * self.dtype.itemsize)
+            out.append(np.frombuffer(self.file.read(n * self.dtype.itemsize), self.dtype))
             at += 1
         return out
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The first record of each of many keys; -1 where the fingerprint says that it isn't here."""
+        keys = np.asarray(keys, np.int64).view(np.uint64)
+        slot = PerfectHash(self.read("bits"), self.levels).number(keys)
+        prints, places = self.read("prints"), self.read("places")
+        if not len(prints):
+            return np.full(len(keys), -1, np.int64)
+        ok = (slot >= 0) & (prints[slot] == key_print(keys))
+        return np.where(ok, places[slot], -1)
+
+    def documents(self, keys: np.ndarray | None = None):
+        """(key or None, begin, ids) of the documents with those keys, each found by the hash; without keys of all documents, those without a key first."""
+        own, known, begins, counts = self.read("keys"), self.read("known").astype(bool), self.read("begins"), self.read("counts")
+        none = int(np.count_nonzero(~known))  # they are the first records
+        if keys is None:
+            keys = own[none:][C.runs(own[none:])] if none < len(own) else own[:0]
+            for at in range(none):
+                yield None, int(begins[at]), self._ids(begins[at], counts[at])
+        found = self.find(keys)
+        for key, at in zip(keys.tolist(), found.tolist(), strict=True):
+            while none <= at < len(own) and own[at] == key:
+                yield key, int(begins[at]), self._ids(begins[at], counts[at])
+                at += 1
+
+    def _ids(self, begin: int, n: int) -> np.ndarray:
+        self.file.seek(len(MAGIC) + int(begin) * self.dtype.itemsize)
+        return np.frombuffer(self.file.read(int(n) * self.dtype.itemsize), self.dtype)
+
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards of docs to the shared folder; gives (shard, path, documents, tokens, low, high).
@@ -183,35 +217,70 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     return C.settle(rows.mapInArrow(write, "shard int, path string, documents long, tokens long, low long, high long"), "token-list")
 
 
+_READ = "doc_id long, start long, ids binary"
+_READ_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+
+def _placed(shards: DataFrame) -> DataFrame:
+    """The shards that have documents, with the ids before each (a window over one row a shard)."""
+    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return shards.select("shard", "path", "documents", "low", "high", F.coalesce(before, F.lit(0)).cast("long").alias("begin")).filter("documents > 0")
+
+
+def _batches(found):
+    """Record batches of (key, start, ids), some at a time."""
+    held, size = [], 0
+    for key, start, ids in found:
+        held.append((key, start, ids.astype("<u4").tobytes()))
+        size += len(held[-1][2])
+        if size > 4 << 20 or len(held) == 512:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _READ_SCHEMA, strict=True)], schema=_READ_SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _READ_SCHEMA, strict=True)], schema=_READ_SCHEMA)
+
+
 def read_tokens(shards: DataFrame) -> DataFrame:
     """(doc_id, start, ids): each document's ids, as little-endian unsigned 32-bit numbers, found through its shard's hash.
 
-    start: the ids of all documents before it. Documents with null ids are read by their record.
+    start: the ids of all documents before it. Documents with null ids have no key and are read by their record.
     """
-    begins, at = {}, 0
-    for r in shards.select("shard", "tokens").orderBy("shard").toLocalIterator():  # a row for each shard
-        begins[r.shard] = at
-        at += r.tokens
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
         for batch in batches:
-            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = C.filesystem(path)
                 with fs.open_input_file(at) as file:
-                    shard = Shard(file)
-                    found = shard.find(shard.keys)
-                    if not np.array_equal(shard.keys[found[shard.known]], shard.keys[shard.known]):
-                        raise ValueError(f"the hash of {path} misses a key")
-                    # a key's first record is found; further ones, and those without a key, follow in place
-                    found = np.arange(len(found))
-                    for i in range(0, len(found), 512):
-                        some = found[i : i + 512]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([int(k) if ok else None for k, ok in zip(shard.keys[some], shard.known[some], strict=True)], pa.int64()),
-                            pa.array(begins[number] + shard.begins[some], pa.int64()),
-                            pa.array([shard.ids(r).astype("<u4").tobytes() for r in some], pa.binary()),
-                        ], schema=schema)
+                    shard, n = Shard(file), 0
+                    for out in _batches((k, begin + b, ids) for k, b, ids in shard.documents()):
+                        n += out.num_rows
+                        yield out
+                    if n != shard.parts["keys"][2]:
+                        raise ValueError(f"the hash of {path} misses {shard.parts['keys'][2] - n} documents")
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.filter("documents > 0").select("shard", "path").repartition(n).mapInArrow(read, "doc_id long, start long, ids binary")
+    return _placed(shards).select("path", "begin").repartition(n).mapInArrow(read, _READ)
+
+
+def lookup_tokens(shards: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, start, ids) of the documents with those keys; keys that no shard has, and null ones, give nothing.
+
+    A key goes to the shards whose range has it: both are dealt to as many even bins of the keys' range as there are
+    shards, so that a shard is in few bins and nothing is broadcast.
+    """
+    placed = _placed(shards).filter("low is not null or high is not null")
+    bounds = placed.agg(F.min(F.coalesce("low", "high")), F.max("high"), F.count(F.lit(1))).first()
+    least, width = bounds[0] or 0, max(1, -(-((bounds[1] or 0) - (bounds[0] or 0) + 1) // max(1, bounds[2])))
+    bin_of = lambda c: F.floor((F.col(c) - F.lit(least)) / F.lit(width)).cast("long")
+    placed = placed.withColumn("low", F.coalesce("low", F.lit(least))).withColumn("bin", F.explode(F.sequence(bin_of("low"), bin_of("high"))))
+    asked = keys.select(F.col(key_col).cast("long").alias("key")).dropna().distinct().withColumn("bin", bin_of("key"))
+    routed = asked.join(placed, "bin").filter("key between low and high").select("path", "begin", "key")
+
+    def read(table: pa.Table) -> pa.Table:
+        fs, at = C.filesystem(table.column("path")[0].as_py())
+        begin = table.column("begin")[0].as_py()
+        with fs.open_input_file(at) as file:
+            found = list(_batches((k, begin + b, ids) for k, b, ids in Shard(file).documents(np.sort(np.array(table.column("key"), np.int64)))))
+        return pa.Table.from_batches(found, schema=_READ_SCHEMA)
+
+    return routed.groupBy("path").applyInArrow(read, _READ)
