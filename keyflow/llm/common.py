@@ -9,8 +9,6 @@ makes a bucket large), and gets an answer for each key back in the same order.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyflow.functions.files import new_folder, shared_dir  # noqa: F401
+
 #: Text of a block; a block may be larger by its last document.
 BLOCK_BYTES = 6 << 20
 #: Text whose keys go to one bucket.
@@ -33,19 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="keyflow-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, kind: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and losing executors doesn't undo it."""
     spark = df.sparkSession
@@ -160,6 +147,14 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    s = runs(keys)
+    return keys[s], np.add.reduceat(counts[order], s) if len(s) else counts[:0]
+
+
 def bodies(column) -> list[bytes]:
     """The texts of an Arrow column of binary or string; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

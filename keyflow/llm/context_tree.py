@@ -71,10 +71,7 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
         keys = np.sort(keys)
         s = C.runs(keys)
         return keys[s], np.diff(np.append(s, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    s = C.runs(keys)
-    return keys[s], np.add.reduceat(counts[order], s) if len(s) else counts[:0]
+    return C.summed(keys, counts)
 
 
 def _rows(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> list[tuple]:

@@ -146,6 +146,47 @@ def test_token_store(spark, docs):
     held = [r.path for r in shards.filter("low <= 9 and high >= 9").collect()]
     shard = token_store.Shard(open(held[0], "rb"))  # noqa: SIM115
     assert len(shard.get(9)) == 2 and shard.get(10**12) == []
+    asked = spark.createDataFrame([(9,), (3,), (None,), (10**12,), (-4,), (9,)], "doc_id long")
+    got = [(r.doc_id, r.start, bytes(r.ids)) for r in token_store.lookup_tokens(shards, asked).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [w for w in want if w[0] in (3, 9)]
+
+
+def test_a_document_is_found_by_the_hash_alone():
+    """Bits, fingerprints or places that are wrong give wrong or no documents; a lookup reads as much of a large shard as of a small one."""
+    import io
+
+    class Counting(io.BytesIO):
+        def read(self, n=-1):
+            self.taken = getattr(self, "taken", 0) + n
+            return super().read(n)
+
+    def written(n):
+        out = Counting()
+        shard = token_store.ShardWriter(out, np.dtype("<u2"))
+        for i in range(n):
+            shard.add(i * 7, np.array([i % 1000, i % 7, 2], "<u2").tobytes())
+        shard.close()
+        return out
+
+    taken = {}
+    for n in (100, 50_000):
+        file = written(n)
+        shard = token_store.Shard(file)
+        file.taken = 0
+        for i in range(0, n, n // 50):
+            assert [x.tolist() for x in shard.get(i * 7)] == [[i % 1000, i % 7, 2]]
+            assert shard.get(i * 7 + 3) == []
+        taken[n] = file.taken / 50
+    assert taken[50_000] < 2 * taken[100] < 1000
+    file = written(300)
+    shard = token_store.Shard(file)
+    assert len(list(shard.documents())) == 300
+    for part in ("bits", "prints"):
+        bad = Counting(file.getvalue())
+        at, kind, n = shard.parts[part]
+        bad.seek(at)
+        bad.write(bytes(n * kind.itemsize))
+        assert len(list(token_store.Shard(bad).documents())) < 10
 
 
 def test_perfect_hash():
@@ -175,15 +216,6 @@ def test_packing(spark, docs):
         assert size <= 256 and size & (size - 1) == 0
 
 
-def test_packing_takes_the_nearest(spark):
-    ids = [np.array(x, np.uint16) for x in ([1, 2, 3, 4, 5], [11, 12, 13, 14, 15], [1, 2, 3, 4, 9], [21, 12, 13, 14, 15])]
-    pieces = packing.fill(np.array([5, 5, 5, 5]), packing.Index(ids), 10)
-    seqs = defaultdict(set)
-    for d, _, _, s, _ in pieces:
-        seqs[s].add(d)
-    assert sorted(map(sorted, seqs.values())) == [[0, 2], [1, 3]]
-
-
 def test_edit_counts(spark, docs):
     enc = tokens.Encoder(BYTE)
     count = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
