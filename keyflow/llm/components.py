@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from keyflow.llm.common import settle
 
 
+#: A hot root's rows are dealt to so many tasks.
+SALTS = 16
+
+
+def by_root(rows: DataFrame, roots: DataFrame, on: str, key: str) -> DataFrame:
+    """rows with the columns of roots, whose ``on`` is unique; rows of one value of ``on`` are spread by ``key``, for which roots is repeated ``SALTS`` times."""
+    salted = roots.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"]).drop("__salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a long, b long), the root being the least node reachable.
 
@@ -22,13 +32,14 @@ def components(links: DataFrame) -> DataFrame:
         parent = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root"))
         for _ in range(2):
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = parent.join(up, "root").select("node", F.col("above").alias("root"))
+            parent = by_root(parent, up, "root", "node").select("node", F.col("above").alias("root"))
         parent = settle(parent, "parents")
         a, b = parent.toDF("a", "ra"), parent.toDF("b", "rb")
         links = settle(ordered(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "links")
         if labels is None:
             labels = parent
         else:
-            up = parent.toDF("root", "above")
-            labels = settle(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+            lone = labels.select("root").distinct().join(parent.select(F.col("node").alias("root")), "root", "left_anti")
+            up = parent.toDF("root", "above").unionByName(lone.withColumn("above", F.col("root")))
+            labels = settle(by_root(labels, up, "root", "node").select("node", F.col("above").alias("root")), "labels")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyflow.llm import common as C
-from keyflow.llm.components import components
+from keyflow.llm.components import by_root, components
 
 #: Fingerprints with equal masked bits up to this many are compared pair by pair.
 _FEW = 1024
@@ -154,5 +154,5 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int
     roots = components(near_links(fps.select("fp"), radius)).toDF("fp", "root")
     rooted = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = C.settle(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = C.settle(by_root(rooted, least, "root", "fp").select("fp", "component_id"), "classes")
+    return by_root(rows, of, "fp", "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

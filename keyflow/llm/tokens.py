@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, memoised for the stretches between white space.
 
-A text is cut where white space follows something else. Neither tokenizer here has a pre-token (or a normalisation) that
-reaches over such a place, so the ids of the stretches in a row are the ids of the text.
+A text is cut where white space follows something else. The two kinds of tokenizer that are known here have no pre-token
+(and no normalisation) that reaches over such a place, so the ids of the stretches in a row are the ids of the text. A
+tokenizer of any other kind encodes whole texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,17 @@ _SPELLING = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in ra
 _SPACE = _SPELLING[32]
 
 
+#: How the known kinds normalise and cut: byte-level with the usual pattern; words and marks in lower case (fixed values).
+_BYTE_LEVEL = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_LOWER_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
 def stretches(text: str) -> list[str]:
     """The text cut before white space that follows something else; together they are the text."""
     if _ODD_SPACE.search(text):
@@ -49,9 +61,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
-        #: Whether a pre-token is never white space, so that white space can be left out.
-        self.drops_space = any(p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and r"[^\s" in p["pattern"].get("Regex", "") for p in pre)
+        spec = json.loads(self.tokenizer.to_str())
+        how = spec.get("normalizer"), spec.get("pre_tokenizer")
+        plain = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(t["special"] for t in spec["added_tokens"])
+        #: Whether texts may be cut; and whether a pre-token is never white space, so that white space can be left out.
+        self.cuts, self.drops_space = plain and how in (_BYTE_LEVEL, _LOWER_WORDS), how == _LOWER_WORDS
         self.model = self.tokenizer.model
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
@@ -62,6 +76,8 @@ class Encoder:
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of dtype."""
+        if not self.cuts:
+            return [array(self.kind, e.ids).tobytes() for i in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
         parts = [self.parts(t) for t in texts]
         self._learn(parts)
         get = self.memo.__getitem__
@@ -69,6 +85,8 @@ class Encoder:
 
     def counts(self, parts: list[list[str]]) -> list[np.ndarray]:
         """Ids of each stretch, counted."""
+        if not self.cuts:
+            raise ValueError("this tokenizer's texts can't be cut into stretches")
         self._learn(parts)
         size, get = self.dtype.itemsize, self.memo.__getitem__
         return [np.fromiter(map(len, map(get, p)), np.int64, len(p)) // size for p in parts]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyflow.llm import common as C
+from keyflow.llm.components import by_root
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -18,22 +19,23 @@ _CHUNK = 1 << 16
 _LEVEL = 4
 
 
-def _urn(page_id) -> str:
-    return "<urn:page:" + ("none" if page_id is None else str(page_id)) + ">"
+def _urn(page_id, copy: int = 0) -> str:
+    """A record's name; further rows with the same id, and all without one, have a number of their own."""
+    return "<urn:page:" + ("none" if page_id is None else str(page_id)) + (f":{copy}" if copy else "") + ">"
 
 
 def _page(urn: str):
-    name = urn.strip("<>").rpartition(":")[2]
+    name = urn.strip("<>").split(":")[2]
     return None if name == "none" else int(name)
 
 
-def record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+def record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to=None, copy: int = 0, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A gzip member with a response, or with a revisit of refers_to, which has no payload but tells its size and digest."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    url = "".join(c for c in url or "" if c > " ")
+    url = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _urn(page_id, copy)), ("WARC-Date", date), ("WARC-Target-URI", url),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
     ]
     if refers_to is not None:
@@ -118,7 +120,9 @@ def write_warcs(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id
         "id", "url", "body", F.octet_length("body").alias("size"), F.sha2("body", 256).alias("digest")
     )
     copies = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    told = rows.join(copies, "digest", "left").select("id", "url", "body", "size", "digest", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers"))
+    # payloads aren't dealt by digest: only ids and digests of what has copies are, and a common payload's are spread
+    refers = by_root(rows.filter(F.col("id").isNotNull()).select("id", "digest"), copies, "digest", "id").filter(F.col("first") < F.col("id")).select("id", "digest", F.col("first").alias("refers")).distinct()
+    told = rows.join(refers, ["id", "digest"], "left").select("id", "url", "body", "size", "digest", "refers")
 
     def write(batches):
         import os
@@ -130,12 +134,14 @@ def write_warcs(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id
         fs.create_dir(at, recursive=True)
         name = f"part-{task.partitionId():06d}.warc.gz"
         mine = f"{at}/.{name}.{task.taskAttemptId()}.{os.getpid()}"
-        n = 0
+        n, seen = 0, set()
         with fs.open_output_stream(mine) as out:
             for batch in batches:
                 for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     page_id, url, payload, size, digest, refers = r
-                    out.write(record(page_id, url, payload, size, digest, refers))
+                    copy = (task.partitionId() << 32) + n + 1 if page_id is None or page_id in seen else 0
+                    seen.add(page_id)
+                    out.write(record(page_id, url, payload, size, digest, refers, copy))
                     n += 1
         fs.move(mine, f"{at}/{name}")
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
