@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ from keyflow.llm import common as C
 from keyflow.llm.substring_dedup import window_hashes
 
 WORD_BITS, PAIR_BITS, START_BITS, CHAR_BITS = 20, 20, 20, 16
-#: Beginnings of words of these lengths, in characters, are features.
-STARTS = (3, 4, 5, 6)
+#: Beginnings of words of these lengths, in UTF-8 bytes, are features.
+STARTS = (4, 5, 6, 7)
 _PAIRS = 1 << WORD_BITS
 _STARTS = _PAIRS + (1 << PAIR_BITS)
 _CHARS = _STARTS + (1 << START_BITS)
@@ -38,8 +37,8 @@ _CHAR_SCALE = 30.0
 _L2 = 2e-5
 _ODD = 0x8CB92BA72F3D8DD7
 _PORTION = 1 << 20
-#: Training rows that are held at a time.
-_CHUNK = 256
+#: Training rows that are read at a time, and features of them that a training task keeps for its next pass.
+_CHUNK, _HELD_FEATURES = 256, 16_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -63,21 +62,6 @@ class Classifier:
         return w
 
 
-class _Starts(dict):
-    """The places of a word's beginnings, memoised."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 100_000:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        hashed = (xxhash.xxh3_64_intdigest(text[:n].encode(), n) for n in STARTS if n <= len(text))
-        out = self[word] = tuple(_STARTS + (h >> (64 - START_BITS)) for h in hashed)
-        return out
-
-
-_STARTS_OF = _Starts()
-
-
 class Portion:
     """Some texts with what is counted in them, worked out together."""
 
@@ -122,21 +106,26 @@ class Portion:
 
     def present(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of each distinct hashed word, pair of words and beginning of a word of a text."""
-        words = [w for x in self.split for w in b" ".join(x).lower().split()]
-        flat = C.word_hashes(words)
-        word = (C.mix(flat, 11) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        index: dict[bytes, int] = {}
+        number = np.array([index.setdefault(w, len(index)) for x in self.split for w in b" ".join(x).lower().split()], np.int64)
+        n = max(1, len(index))
+        hashes = C.word_hashes(list(index))
         at = self._within(2)
-        pair = (C.mix(window_hashes(flat, 2, _ODD)[at], 12) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + _PAIRS if len(at) else at
-        _, first, number = np.unique(flat, return_index=True, return_inverse=True)
-        own = np.unique(self.doc * (len(first) + 1) + number)  # each text's distinct words
-        starts = [_STARTS_OF[words[i]] for i in first.tolist()]
-        sizes = np.array([len(x) for x in starts], np.int64)
-        flat_starts = np.array([h for x in starts for h in x], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        doc, number = own // (len(first) + 1), own % (len(first) + 1)
-        per = sizes[number]
-        place = flat_starts[np.arange(per.sum()) + np.repeat(begin[number] - np.cumsum(per) + per, per)] if len(own) else own
-        key = np.unique(np.concatenate([self.doc * SIZE + word, self.doc[at] * SIZE + pair, np.repeat(doc, per) * SIZE + place]))
+        pair = (C.mix(window_hashes(hashes[number], 2, _ODD)[at], 12) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + _PAIRS if len(at) else at
+        own = C.distinct(self.doc * n + number)  # each text's distinct words
+        doc, number = own // n, own % n
+        word = (C.mix(hashes, 11) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        keys = [doc * SIZE + word[number], self.doc[at] * SIZE + pair]
+        lens = np.fromiter(map(len, index), np.int64, len(index))
+        chars = np.frombuffer(b"".join(index) + bytes(8), np.uint8).astype(np.uint64)
+        begin, head = np.cumsum(lens) - lens, np.zeros(len(index), np.uint64)
+        for i in range(STARTS[-1]):
+            head |= chars[begin + i] << np.uint64(8 * i)
+            if i + 1 in STARTS:
+                place = (C.mix(head, 20 + i) >> np.uint64(64 - START_BITS)).astype(np.int64) + _STARTS
+                long = lens[number] > i
+                keys.append(doc[long] * SIZE + place[number[long]])
+        key = C.distinct(np.concatenate(keys))
         return key // SIZE, key % SIZE
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +142,9 @@ class Portion:
         """Of each text the places of its features, ascending, and their values."""
         doc, place = self.present()
         gram_doc, gram = self.trigrams()
-        key, count = np.unique(gram_doc * SIZE + gram, return_counts=True)
+        key = np.sort(gram_doc * SIZE + gram)
+        first = C.runs(key)
+        key, count = key[first], np.diff(np.append(first, len(key)))
         share = count * _CHAR_SCALE / np.maximum(np.bincount(gram_doc, minlength=self.n), 1)[key // SIZE]
         a, b = np.searchsorted(doc, np.arange(self.n + 1)), np.searchsorted(key // SIZE, np.arange(self.n + 1))
         return [(np.concatenate([place[a[i] : a[i + 1]], key[b[i] : b[i + 1]] % SIZE]), np.concatenate([np.ones(a[i + 1] - a[i]), share[b[i] : b[i + 1]]])) for i in range(self.n)]
@@ -266,11 +257,27 @@ def train(rows: TrainingRows, which: int) -> Classifier:
     number[names] = np.arange(len(names), dtype=np.int32)
     scale, size, total = np.append(scale, np.float32(0)), len(names), int(n.sum())  # the last place is for what training rows don't have
 
+    held: list[tuple] = []
+    room = [_HELD_FEATURES]
+
+    def scaled_chunks() -> Iterator[tuple]:
+        """The chunks with scaled values: the first ones are held, up to a bound, and the others read again."""
+        yield from list(held)
+        if held and room[0] > 0:
+            return
+        known = len(held)
+        for i, (place, value, row, *label, out) in enumerate(rows.chunks()):
+            if i >= known:
+                at = number[place]
+                chunk = at, value * scale[at], row.astype(np.int32), label[which], out
+                room[0] -= len(at)
+                if room[0] > 0:
+                    held.append(chunk)
+                yield chunk
+
     def passes(x: np.ndarray) -> Iterator[tuple]:
-        for place, value, row, *label, out in rows.chunks():
-            at = number[place]
-            scaled = value * scale[at]
-            yield at, scaled, row, np.bincount(row, scaled * x[:size].take(at, mode="clip"), len(out)) + x[size], label[which], out
+        for at, scaled, row, wrong, out in scaled_chunks():
+            yield at, scaled, row, np.bincount(row, scaled * x[:size].take(at, mode="clip"), len(out)) + x[size], wrong, out
 
     def loss(x: np.ndarray):
         value, g = _L2 / 2 * float(x[:size] @ x[:size]), np.append(_L2 * x[:size], 0.0)
