@@ -30,7 +30,7 @@ QUERY_BYTES, QUERY_ROWS = 1 << 20, 512
 FILL_BYTES = 4 << 20
 #: Blocks of queries are held by a task up to this size, and else read anew for each shard.
 HELD_BYTES = 48 << 20
-#: Terms of a shard and a block that are multiplied as matrices: those with most products.
+#: Terms of a shard that are multiplied as a matrix: those that most of its documents have.
 _DENSE = 512
 _PRODUCTS = 4 << 20
 #: Distinct terms that a counting task holds before it sends them on.
@@ -38,21 +38,21 @@ _HELD_TERMS = 1_500_000
 _QUERIES = "block int, seeds binary, lens binary, terms binary, weights binary"
 
 
-def terms_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashed words of texts in a row (A-Z lower-cased), the text of each, and the texts' numbers of words."""
-    split = [x.lower().split() for x in bodies]
-    lens = np.array([len(x) for x in split], np.int64)
-    return C.word_hashes([w for x in split for w in x]), np.repeat(np.arange(len(split)), lens), lens
-
-
 def distinct_terms(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct terms, ascending; for each pair of a term and a text that has it the term's number, the text and how often, by term; and the texts' lengths."""
-    flat, doc, lens = terms_of(bodies)
-    terms, number = np.unique(flat, return_inverse=True)
-    key = np.sort(number * max(1, len(bodies)) + doc)
+    """The distinct terms, ascending; for each pair of a term and a text that has it the term's number, the text and how often, by term; and the texts' lengths.
+
+    A term is a hashed word, A-Z lower-cased.
+    """
+    flat, lens = C.hashed_words(bodies, lower=True)
+    n = max(1, len(bodies))
+    order = np.argsort(flat)
+    s = C.runs(flat[order])
+    number = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(flat))))
+    key = np.sort(number * n + np.repeat(np.arange(len(bodies)), lens)[order])
+    terms = flat[order[s]]
     s = C.runs(key)
     tf = np.diff(np.append(s, len(key)))
-    return terms, key[s] // max(1, len(bodies)), key[s] % max(1, len(bodies)), tf, lens
+    return terms, key[s] // n, key[s] % n, tf, lens
 
 
 class Shard:
@@ -63,9 +63,15 @@ class Shard:
         self.terms, number, self.docs, tf, lens = distinct_terms(bodies)
         self.df = np.bincount(number, minlength=len(self.terms))
         self.begins = np.cumsum(self.df) - self.df
-        self.number = number
         norm = K1 * (1 - B + B * lens / max(mean, 1e-9))
         self.weights = (tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32)
+        # the terms that most documents have are multiplied as a matrix
+        self.column = np.full(len(self.terms), -1)
+        common = np.argsort(-self.df, kind="stable")[:_DENSE]
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        own = self.column[number] >= 0
+        self.matrix[self.column[number[own]], self.docs[own]] = self.weights[own]
 
     def scores(self, lens: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """A row for each query of its score for each document; a query is so many of the terms and their weights."""
@@ -76,17 +82,11 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         have = self.terms[at] == terms
         query, at, weights = query[have], at[have], weights[have]
-        load = np.bincount(at, minlength=len(self.terms)) * self.df
-        column = np.full(len(self.terms), -1)
-        dense = np.argsort(-load, kind="stable")[:_DENSE]
-        column[dense] = np.arange(len(dense))
-        left, right = np.zeros((len(lens), len(dense)), np.float32), np.zeros((len(dense), self.n), np.float32)
-        own = column[at] >= 0
-        left[query[own], column[at[own]]] = weights[own]
-        own = column[self.number] >= 0
-        right[column[self.number[own]], self.docs[own]] = self.weights[own]
-        np.matmul(left, right, out=out)
-        rest = np.flatnonzero(column[at] < 0)
+        column, left = self.column[at], np.zeros((len(lens), len(self.matrix)), np.float32)
+        own = column >= 0
+        left[query[own], column[own]] = weights[own]
+        np.matmul(left, self.matrix, out=out)
+        rest = np.flatnonzero(~own)
         per = self.df[at[rest]]
         flat = out.reshape(-1)
         for part in np.split(rest, np.flatnonzero(np.diff(np.cumsum(per) // _PRODUCTS)) + 1):

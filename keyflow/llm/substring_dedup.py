@@ -57,11 +57,9 @@ class _Block:
         self.order = order
         self.ids = np.array(ids.fill_null(0), np.int64)[order]
         known = ~np.array(ids.is_null())[order]
-        self.words = [x.split() for x in np.array(C.bodies(table.column("body")) + [b""], object)[:-1][order]]
-        lens = np.array([len(x) for x in self.words], np.int64)
+        flat, lens = C.hashed_words(list(np.array(C.bodies(table.column("body")) + [b""], object)[:-1][order]))
         self.ends = np.cumsum(lens)
         self.starts = self.ends - lens
-        flat = C.word_hashes([w for x in self.words for w in x])
         doc = np.repeat(np.arange(len(lens)), lens)
         fits = np.arange(len(flat)) + min_words <= np.repeat(self.ends, lens)
         fits &= np.repeat(known, lens)
@@ -228,6 +226,114 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     )
 
 
+def repeat_lengths(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(id, longest) for each row with an id, and for each level its length and how many windows survived it.
+
+    Levels are min_words, twice that, and so on: a window survives if a row with another id has its word sequence, and what
+    survives is extended to twice the length where the window that follows it in its text survives too, until none does.
+    longest: the greatest level's length at which a window of the row survives; 0 if none does. Null and short texts: 0.
+    A level reads what the one before wrote, surviving windows alone; texts are read for the first one only.
+    """
+    spark = docs.sparkSession
+    total = C.text_bytes(docs, text_col)
+    n_blocks, n_buckets = C.groups(total, C.BLOCK_BYTES), C.groups(total, C.BUCKET_BYTES)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).filter("id is not null")
+    base = base.withColumn("block", C.block_of(F.col("id"), n_blocks))
+
+    def table(rows: list[tuple]) -> pa.Table:
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = list(zip(*rows, strict=True)) or [()] * len(types)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("level", "block", "bucket", "keys", "more", "least"), columns, types, strict=True)})
+
+    def grouped(at: np.ndarray, doc: np.ndarray, h: np.ndarray, ids: np.ndarray):
+        """The order of windows by hash, the runs, and the least and greatest id of each."""
+        order = np.lexsort((doc, h))  # documents are in the order of their ids
+        s = C.runs(h[order])
+        ends = np.append(s[1:], len(h)) - 1
+        return order, s, ids[doc[order[s]]], ids[doc[order[ends]]] if len(s) else ids[:0]
+
+    def state(block: int, at: np.ndarray, doc: np.ndarray, h: np.ndarray, ids: np.ndarray, longest: np.ndarray, survived: int) -> pa.Table:
+        """A row for the block's windows, one for its documents, and what it sends to each bucket."""
+        order, s, least, most = grouped(at, doc, h, ids)
+        keys = h[order][s]
+        sends = [(1, block, b, C.pack(keys[i:j], True), C.pack(most[i:j]), C.pack(least[i:j])) for b, i, j in C.ranges(keys, n_buckets)]
+        own = (-1, block, survived, C.pack(at, True), C.pack(h), C.pack(doc))
+        return table([own, (-2, block, 0, C.pack(ids), C.pack(longest), b""), *sends])
+
+    def begin(key, part: pa.Table, reply: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return table([])
+        block = _Block(part, min_words)
+        keys, _, _ = block.halves()
+        alive = _alive(block, _joined(_bits(reply, 1), C.ranges(keys, n_buckets)))
+        h = C.mix(window_hashes(block.flat, min_words, _ODD), 1)[block.at[alive]] if len(block.at) else np.zeros(0, np.uint64)
+        return state(part.column("block")[0].as_py(), block.at[alive], block.doc[alive], h, block.ids, np.zeros(len(block.ids), np.int64), 0)
+
+    def send_halves(part: pa.Table) -> pa.Table:
+        block = _Block(part, min_words)
+        keys, multi, _ = block.halves()
+        return table([(1, part.column("block")[0].as_py(), b, C.pack(keys[i:j], True), C.pack(multi[i:j].view(np.uint8)), b"") for b, i, j in C.ranges(keys, n_buckets)])
+
+    def answer(part: pa.Table, half: bool = False) -> pa.Table:
+        """Whether documents with different ids have each key."""
+        keys = [C.unpack(x, np.uint64, True) for x in part.column("keys").to_pylist()]
+        k = np.concatenate(keys)
+        order = np.argsort(k, kind="stable")
+        s = C.runs(k[order])
+        size = np.diff(np.append(s, len(k)))
+        if half:
+            yes = (size > 1) | (np.maximum.reduceat(np.concatenate([C.unpack(x, np.uint8) for x in part.column("more").to_pylist()])[order], s) > 0)
+        else:
+            most, least = (np.concatenate([C.unpack(x, np.int64) for x in part.column(c).to_pylist()])[order] for c in ("more", "least"))
+            yes = np.maximum.reduceat(most, s) > np.minimum.reduceat(least, s)
+        flag = np.zeros(len(k), bool)
+        flag[order] = np.repeat(yes, size)
+        bits = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(x) for x in keys])[:-1])]
+        n = part.num_rows
+        return pa.table({"level": pa.array([1] * n, pa.int32()), "block": part.column("block"), "bucket": part.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+    def extended(length: int):
+        def extend(key, own: pa.Table, reply: pa.Table) -> pa.Table:
+            rows = {r["level"]: r for r in own.to_pylist()}
+            if -1 not in rows:
+                return table([])
+            at, h, doc = C.unpack(rows[-1]["keys"], np.int64, True), C.unpack(rows[-1]["more"], np.uint64), C.unpack(rows[-1]["least"], np.int64)
+            ids, longest = C.unpack(rows[-2]["keys"], np.int64), C.unpack(rows[-2]["more"], np.int64).copy()
+            order, s, *_ = grouped(at, doc, h, ids)
+            yes = _joined(_bits(reply, 1), C.ranges(h[order][s], n_buckets))
+            alive = np.zeros(len(at), bool)
+            alive[order] = np.repeat(yes, np.diff(np.append(s, len(at))))
+            at, h, doc = at[alive], h[alive], doc[alive]
+            longest[doc] = length
+            survived = len(at)
+            if survived:
+                after = np.minimum(np.searchsorted(at, at + length), survived - 1)
+                go = (at[after] == at + length) & (doc[after] == doc)
+                with np.errstate(over="ignore"):
+                    h = C.mix(h[go] * np.uint64(_ODD) + h[after[go]], 3)
+                at, doc = at[go], doc[go]
+            return state(rows[-1]["block"], at, doc, h, ids, longest, survived)
+
+        return extend
+
+    halves = base.groupBy("block").applyInArrow(send_halves, _SENT).groupBy("bucket").applyInArrow(lambda part: answer(part, True), _REPLY)
+    now = C.settle(base.groupBy("block").cogroup(halves.groupBy("block")).applyInArrow(begin, _SENT), "windows")
+    length, survivors = min_words, []
+    while not now.filter("level = 1").isEmpty():
+        replies = now.filter("level = 1").groupBy("bucket").applyInArrow(lambda part: answer(part), _REPLY)
+        now = C.settle(now.filter("level < 0").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(extended(length), _SENT), "windows")
+        survivors.append((length, now.filter("level = -1").agg(F.sum("bucket")).first()[0] or 0))
+        length *= 2
+
+    def result(batches):
+        for batch in batches:
+            for ids, longest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(C.unpack(ids, np.int64)), pa.array(C.unpack(longest, np.int64))], [id_col, "longest"])
+
+    found = now.filter("level = -2").select("keys", "more").mapInArrow(result, f"`{id_col}` long, longest long")
+    return found, survivors
+
+
 def _without(text: bytes, covered: np.ndarray) -> bytes:
     spans = [m.span() for m in _WORD.finditer(text)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))

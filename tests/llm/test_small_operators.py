@@ -338,3 +338,17 @@ def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_hashed_words_are_those_of_split():
+    texts = [b"", b" ", b"one", b"\tTwo one\x0b\x0cTWO  \n", "é ü x naïve".encode(), b"x" * 70_000 + b" y", b"", b"one"]
+    for lower in (False, True):
+        flat, n = common.hashed_words(texts, lower)
+        words = [(x.lower() if lower else x).split() for x in texts]
+        assert n.tolist() == [len(w) for w in words]
+        number = {}
+        assert [number.setdefault(h, w) for h, w in zip(flat.tolist(), sum(words, []), strict=True)] == sum(words, []) and len(number) == len(set(sum(words, [])))
+    assert [len(x) for x in common.hashed_words([])] == [0, 0]
+    rng = np.random.default_rng(1)
+    many = {bytes(rng.integers(97, 123, int(rng.integers(1, 6))).astype(np.uint8)) for _ in range(200_000)}
+    assert len(set(common.hashed_words([b" ".join(many)])[0].tolist())) == len(many)
