@@ -19,7 +19,8 @@ KEYS = {
 
 
 def load(spark: SparkSession, folder: str, name: str) -> KeyedTable:
-    return KeyedTable(spark.read.parquet(f"{folder}/{name}.parquet"), KEYS[name], name)
+    """A table with its key; an empty one where it has none."""
+    return KeyedTable(rows(spark, folder, name), KEYS.get(name, []), name)
 
 
 def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
