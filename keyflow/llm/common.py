@@ -64,7 +64,7 @@ _holder = None
 
 
 def hold(memo) -> None:
-    """Only one memo is kept in a process, the last that learnt something; the others start anew."""
+    """Only one memo is kept in a process, the last that learnt something (None: none); the others start anew."""
     global _holder
     if _holder is not memo:
         if _holder is not None:

@@ -364,6 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled.mapInArrow(features, "quality int, toxic int, out boolean, places binary, values binary").write.parquet(at)
 
     def learn(batches):
+        C.hold(None)  # no memo beside what training holds
         for batch in batches:
             for which in batch.column(0).to_pylist():
                 m = train(TrainingRows(lambda: _stored_rows(at)), which)
@@ -373,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     "bias": [m.bias], "slope": [m.slope], "offset": [m.offset],
                 })
 
-    spark.range(2, numPartitions=2).select(F.col("id").cast("int").alias("which")).mapInArrow(learn, _MODEL).write.parquet(models)
+    spark.range(2, numPartitions=1).select(F.col("id").cast("int").alias("which")).mapInArrow(learn, _MODEL).write.parquet(models)
     return models
 
 

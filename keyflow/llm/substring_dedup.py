@@ -50,6 +50,7 @@ class _Block:
     """A block's windows: place, document's index, hashes."""
 
     def __init__(self, table: pa.Table, min_words: int):
+        C.hold(None)
         C.trim()
         self.half = -(-min_words // 2)
         ids = table.column("id")
