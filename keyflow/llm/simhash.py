@@ -150,9 +150,13 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     rows = C.settle(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(prints, "id long, fp long"), "prints")
-    fps = C.settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "fps")
+    fps = C.settle(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     roots = components(near_links(fps.select("fp"), radius)).toDF("fp", "root")
-    rooted = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = C.settle(by_root(rooted, least, "root", "fp").select("fp", "component_id"), "classes")
-    return by_root(rows, of, "fp", "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = fps.select("fp", "first").join(roots, "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = by_root(linked, least, "root", "fp").select("fp", F.col("component_id").alias("least"))
+    of = C.settle(fps.join(linked, "fp", "left").select("fp", "first", "n", F.coalesce("least", "first").alias("component_id")), "classes")
+    alone = of.filter("n = 1").select(F.col("first").alias("id"), "fp", "component_id")  # its row's own id
+    copies = by_root(rows, of.filter("n > 1").select("fp", "component_id"), "fp", "id").select("id", "fp", "component_id")
+    found = alone.unionByName(copies)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
