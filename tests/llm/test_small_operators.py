@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -291,19 +291,20 @@ def test_template():
     assert pieces == [("x", False), ("y1", True), ("z", False)]
 
 
-def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
+@pytest.mark.parametrize("depth", [5, 7])
+def test_context_tree_is_a_distribution_and_matches_brute_force(spark, depth):
     rows = [(i, t) for i, t in enumerate(["abracadabra", "abra cadabra", "banana band", "a", "", None, "bandana abra", "zz é", "cad abra", "abra"] * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in context_tree.score(docs, context_tree.fit(docs)).collect()}
+    got = {r.doc_id: r for r in context_tree.score(docs, context_tree.fit(docs, depth=depth), part_bytes=5).collect()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
     text = lambda t: b" ".join((t or "").lower().encode().split()) + b"\n"
     counts = defaultdict(lambda: [0, 0])
     for k, t in rows:
         if not held[k]:
-            s = b"\n" * context_tree.DEPTH + text(t)
-            for i in range(context_tree.DEPTH, len(s)):
+            s = b"\n" * depth + text(t)
+            for i in range(depth, len(s)):
                 for j in range(8):
-                    for d in range(context_tree.DEPTH + 1):
+                    for d in range(depth + 1):
                         counts[s[i - d : i], j, s[i] >> (8 - j)][s[i] >> (7 - j) & 1] += 1
     children = defaultdict(list)
     for c, j, x in counts:
@@ -313,13 +314,13 @@ def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
     for node in sorted(counts, key=lambda n: -len(n[0])):
         a, b = counts[node]
         kts[node] = float(context_tree.log_kt(np.array([a]), np.array([b]))[0])
-        weighted[node] = kts[node] if len(node[0]) == context_tree.DEPTH else np.logaddexp(kts[node], sum(weighted[c] for c in children[node])) - np.log(2)
+        weighted[node] = kts[node] if len(node[0]) == depth else np.logaddexp(kts[node], sum(weighted[c] for c in children[node])) - np.log(2)
     for k, t in rows:
-        s, total = b"\n" * context_tree.DEPTH + text(t), 0.0
-        for i in range(context_tree.DEPTH, len(s)):
+        s, total = b"\n" * depth + text(t), 0.0
+        for i in range(depth, len(s)):
             for j in range(8):
                 p = None
-                for d in range(context_tree.DEPTH, -1, -1):
+                for d in range(depth, -1, -1):
                     node = (s[i - d : i], j, s[i] >> (8 - j))
                     a, b = counts.get(node, (0, 0))
                     own = (b + 0.5) / (a + b + 1)
@@ -336,6 +337,30 @@ def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
         assert r.base_score == pytest.approx(base)
 
 
+def test_large_buckets_are_answered_by_several_tasks(spark):
+    """Also null and repeated ids, a very long text and columns with the names of results."""
+    texts = ["abra cadabra", "the cat sat", None, "", "the cat sat", "é\u3000zz " * 3, "the bat sat on the mat " * 20_000]
+    rows = [(i % 37 if i % 50 else None, texts[i % 6], "x", 1.0) for i in range(300)] + [(500, texts[6], "y", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string, score double")
+    model = context_tree.fit(docs)
+    parts = [r.parts for r in model.dealt(common.text_bytes(docs), 2000).collect()]
+    assert max(parts) > 4 and min(parts) == 1
+    seen = lambda df: Counter((r.doc_id, r.n_tokens, round(r.score, 3), round(r.base_score, 6)) for r in df.collect())
+    whole = seen(context_tree.score(docs, model))
+    assert sum(whole.values()) == len(rows) and whole == seen(context_tree.score(docs, model, part_bytes=2000))
+
+
+def test_union_and_added_hold_portions(monkeypatch):
+    monkeypatch.setattr(context_tree, "_HELD", 10)
+    rng = np.random.default_rng(5)
+    parts = [np.unique(rng.integers(0, 60, 8)).astype(np.uint64) for _ in range(50)]
+    everything = np.concatenate(parts)
+    assert context_tree.union(parts).tolist() == np.unique(everything).tolist()
+    keys, counts = context_tree.added((x, np.full(len(x), 2, np.uint32)) for x in parts)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {k: 2 * v for k, v in Counter(everything.tolist()).items()}
+    assert len(context_tree.union([])) == 0 and len(context_tree.added([])[0]) == 0
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
