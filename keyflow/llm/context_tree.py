@@ -273,11 +273,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
                     bucket = _gram_bucket(keys, n, depth) if kind else _word_bucket(keys, n)
                     yield pa.RecordBatch.from_pydict(_table(_rows(kind, 0, keys, counts, bucket, {})))
 
-        for docs_words in _train_portions(batches):
-            flat = [w for x in docs_words for w in x]
-            words = np.concatenate([C.word_hashes(flat), np.full(len(docs_words), _END_WORD, np.uint64)])
-            add(0, words)
-            if add(1, gram_keys(docs_words, depth)[0]) > 2 * _HELD:
+        for texts in _train_portions(batches):
+            add(0, np.concatenate([C.hashed_words(texts, lower=True)[0], np.full(len(texts), _END_WORD, np.uint64)]))
+            if add(1, gram_keys([words_of(x) for x in texts], depth)[0]) > 2 * _HELD:
                 for kind in (0, 1):
                     held[kind] = [merged(kind)]
                 if len(held[1][0][0]) > _HELD:
@@ -314,7 +312,7 @@ def _train_portions(batches):
         out = held_out(batch.column(0).to_pylist())
         for skip, body in zip(out, batch.column(1).to_pylist(), strict=True):
             if not skip:
-                held.append(words_of(body))
+                held.append(body)
                 size += len(body)
                 if size > _PORTION:
                     yield held
@@ -323,6 +321,15 @@ def _train_portions(batches):
         yield held
 
 
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and where among them each number is."""
+    order = np.argsort(x)
+    s = C.runs(x[order])
+    at = np.empty(len(x), np.int32)
+    at[order] = np.repeat(np.arange(len(s), dtype=np.int32), np.diff(np.append(s, len(x))))
+    return x[order[s]], at
+
+
 class _Asked:
     """A block's distinct words and contexts; places: and where each of its own is among them."""
 
@@ -330,20 +337,14 @@ class _Asked:
         self.depth = depth
         C.trim()
         self.ids = table.column("id").to_pylist()
-        docs = [words_of(x) for x in table.column("body").to_pylist()]
-        self.n_words = np.array([len(x) for x in docs], np.int64)
-        words = np.append(C.word_hashes([w for x in docs for w in x]), np.uint64(_END_WORD))
-        grams, self.lens = gram_keys(docs, depth)
-        del docs
-        if not places:
-            self.words, self.grams = counted(words)[0], counted(grams)[0]
-            return
-        self.words, self.word_at = np.unique(words, return_inverse=True)
-        order = np.argsort(grams)
-        s = C.runs(grams[order])
-        self.grams = grams[order][s]
-        self.gram_at = np.empty(len(grams), np.int32)
-        self.gram_at[order] = np.repeat(np.arange(len(s), dtype=np.int32), np.diff(np.append(s, len(grams))))
+        texts = table.column("body").to_pylist()
+        words, self.n_words = C.hashed_words(texts, lower=True)
+        words = np.append(words, np.uint64(_END_WORD))
+        self.words, self.word_at = _places(words) if places else (C.distinct(words), None)
+        del words
+        grams, self.lens = gram_keys([words_of(x) for x in texts], depth)
+        del texts
+        self.grams, self.gram_at = _places(grams) if places else (counted(grams)[0], None)
 
     def parts(self, n: int):
         return (0, self.words, _word_bucket(self.words, n)), (1, self.grams, _gram_bucket(self.grams, n, self.depth))
