@@ -103,16 +103,42 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_draw = np.random.default_rng(64)
-_BYTES = _draw.integers(0, 2**64, 256, dtype=np.uint64)
-_POWER = np.uint64(int(_draw.integers(0, 2**63)) * 2 + 1)
 _TOGETHER = 4 << 20
+#: Longest span, in bytes, that is hashed eight bytes at a time together with all others; longer ones are few, and each is hashed alone.
+SHORT_SPAN = 64
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eight_bytes(padded: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as one number, zeros after its end. padded: whole numbers of eight bytes, eight more than the spans reach."""
+    words, place = padded.view("<u8"), at >> 3
+    shift = ((at & 7) << 3).astype(np.uint64)
+    x = (words[place] >> shift) | (words[place + 1] << (np.uint64(63) - shift) << np.uint64(1))
+    return x & _LOW_BYTES[np.minimum(lens, 8)]
+
+
+def padded_bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text + bytes(16 - len(text) % 8), np.uint8)
+
+
+def span_hashes(padded: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
+    h = mix(eight_bytes(padded, at, lens) ^ (lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    left = np.flatnonzero((lens > 8) & (lens <= SHORT_SPAN))
+    for done in range(8, SHORT_SPAN, 8):
+        left = left[lens[left] > done]
+        if not len(left):
+            break
+        h[left] = mix(h[left] ^ eight_bytes(padded, at[left] + done, lens[left] - done), done)
+    for i in np.flatnonzero(lens > SHORT_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(padded[at[i] : at[i] + lens[i]])
+    return h
 
 
 def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts in a row (``bytes.split``; lower: A-Z as a-z), and how many each text has.
 
-    No word becomes a Python object: a word's hash is the sum of a random number for each byte, times a power for its place.
+    No word becomes a Python object, unless it is very long.
     """
     hashes, counts, held, size = [], [], [], 0
     for i, t in enumerate(texts):
@@ -128,23 +154,15 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
 
 def _hashed(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts) + b"\n"
-    c = np.frombuffer(joined.lower() if lower else joined, np.uint8)
-    space = _SPACE[c]
+    padded = padded_bytes(joined.lower() if lower else joined)
+    space = _SPACE[padded[: len(joined)]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.append(0, edge)
     begin, end = edge[::2], edge[1::2]  # the text ends with a space
     ends = np.cumsum([len(t) + 1 for t in texts])
     count = np.diff(np.searchsorted(begin, ends), prepend=0)
-    if not len(begin):
-        return np.zeros(0, np.uint64), count
-    lens = end - begin
-    first = np.cumsum(lens) - lens
-    place = np.arange(lens.sum()) - np.repeat(first, lens)
-    power = np.ones(int(lens.max()), np.uint64)
-    power[1:] = _POWER
-    power = np.cumprod(power, dtype=np.uint64)
-    return mix(np.add.reduceat(_BYTES[c[~space]] * power[place], first)), count
+    return span_hashes(padded, begin, end - begin), count
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

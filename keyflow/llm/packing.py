@@ -314,7 +314,7 @@ def route(docs: DataFrame, tokenizer: str, end_id: int, every: int = EVERY, id_c
             seed, none = np.where(own, ids, seed), ~own & (score == 0)
             texts = [b.decode("utf-8") for b in bodies]
             del bodies
-            raw = [x + end for i in range(0, n, 512) for x in enc.raw(texts[i : i + 512])]
+            raw = [x + end for x in enc.raw(texts)]
             yield pa.RecordBatch.from_arrays([
                 part.column("id").combine_chunks(), part.column("place").combine_chunks(), pa.array(seed, mask=none),
                 pa.array(np.where(own, np.inf, np.round(score, 4)).astype(np.float64)), pa.array(raw, pa.binary()),

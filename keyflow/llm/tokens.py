@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-from keyflow.llm.common import hold
+from keyflow.llm.common import SHORT_SPAN, eight_bytes, hold, padded_bytes, runs, span_hashes
 
 #: Stretches, and parts of them, that a worker keeps ids of; it starts anew when full.
 MEMO_STRETCHES, MEMO_PARTS = 250_000, 500_000
@@ -25,6 +25,11 @@ PORTION_CHARS = 1 << 20
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _STRETCH = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+_EDGE = re.compile(r"(?<=[^ \n\t\r])(?=[ \n\t\r])")
+#: One pre-token for both tokenizers.
+_LETTERS = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_LETTER, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (bytes([*range(65, 91), *range(97, 123)]), b".,;:!?%$&*#|"))
+_CUT_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 #: Letters and then marks: pre-tokens of their own for both tokenizers, whatever Unicode version they follow.
 _SIMPLE = re.compile("([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?%$&*#|]*)")
 #: The byte-level spelling: visible Latin-1 characters stand for themselves, the other bytes for those from 256 on.
@@ -51,6 +56,29 @@ def stretches(text: str) -> list[str]:
     return _STRETCH.findall(text)
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut into some of about ``PORTION_CHARS`` characters, before white space that follows something else."""
+    out, begin = [], 0
+    while len(text) - begin > 2 * PORTION_CHARS and (cut := _EDGE.search(text, begin + PORTION_CHARS)):
+        out.append(text[begin : cut.start()])
+        begin = cut.start()
+    return [*out, text[begin:]]
+
+
+def _equal_spans(padded: np.ndarray, begin: np.ndarray, lens: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span of bytes equals that numbered in other."""
+    if not np.array_equal(lens, lens[other]):
+        return False
+    left = np.flatnonzero(other != np.arange(len(other)))
+    for done in range(0, SHORT_SPAN, 8):
+        left = left[lens[left] > done]
+        left_lens = lens[left] - done
+        if not np.array_equal(eight_bytes(padded, begin[left] + done, left_lens), eight_bytes(padded, begin[other[left]] + done, left_lens)):
+            return False
+    left = left[lens[left] > SHORT_SPAN].tolist()
+    return all(np.array_equal(padded[begin[i] : begin[i] + lens[i]], padded[begin[other[i]] : begin[other[i]] + lens[i]]) for i in left)
+
+
 class Encoder:
     """Ids of whole texts without special tokens; their strings in a text are ordinary text."""
 
@@ -70,6 +98,7 @@ class Encoder:
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.stretch_ids: dict[bytes, bytes] = {}
 
     def parts(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if self.drops_space else stretches(text)
@@ -78,10 +107,71 @@ class Encoder:
         """Ids of each text as little-endian numbers of dtype."""
         if not self.cuts:
             return [array(self.kind, e.ids).tobytes() for i in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
-        parts = [self.parts(t) for t in texts]
-        self._learn(parts)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, owner, size = [], [], 0
+        for i, text in enumerate(texts):
+            if not self.drops_space and _ODD_SPACE.search(text):
+                out[i].append(self._one_by_one(text))
+                continue
+            for piece in pieces(text):
+                held.append(piece.encode())
+                owner.append(i)
+                size += len(held[-1])
+                if size >= PORTION_CHARS:
+                    self._put(out, owner, held)
+                    held, owner, size = [], [], 0
+        self._put(out, owner, held)
+        return [b"".join(x) for x in out]
+
+    def _one_by_one(self, text: str) -> bytes:
+        parts = self.parts(text)
+        self._learn([parts])
+        return b"".join(map(self.memo.__getitem__, parts))
+
+    def _put(self, out: list[list[bytes]], owner: list[int], texts: list[bytes]) -> None:
+        """Ids of texts, each distinct stretch being looked up once: equal ones are found by sorting their hashes, and compared byte by byte.
+
+        Stretches are cut between a letter and a mark too, over which no pre-token of the known kinds reaches.
+        """
+        joined = b"".join(texts)
+        if not joined:
+            return
+        padded, ends = padded_bytes(joined), np.cumsum([len(t) for t in texts])
+        c = padded[: len(joined)]
+        space = _CUT_SPACE[c]
+        first = np.zeros(len(joined), bool)
+        first[1:] = _LETTER[c[:-1]] & _MARK[c[1:]]
+        first[0] = True
+        first[ends[:-1][ends[:-1] < len(joined)]] = True
+        if self.drops_space:
+            first[1:] |= space[:-1]
+            begin = np.flatnonzero(first & ~space)
+            last = np.append(first[1:] | space[1:], True)
+            lens = np.flatnonzero(last & ~space) + 1 - begin
+        else:
+            first[1:] |= space[1:] & ~space[:-1]
+            begin = np.flatnonzero(first)
+            lens = np.diff(np.append(begin, len(joined)))
+        h = span_hashes(padded, begin, lens)
+        order = np.argsort(h)
+        s = runs(h[order])
+        kind = np.empty(len(h), np.int64)
+        kind[order] = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(h))))
+        model = order[s]
+        if not _equal_spans(padded, begin, lens, model[kind]):
+            for i, t in zip(owner, texts, strict=True):
+                out[i].append(self._one_by_one(t.decode()))
+            return
+        ids = self._ids([joined[b:e] for b, e in zip(begin[model].tolist(), (begin[model] + lens[model]).tolist(), strict=True)])
+        flat, size = np.frombuffer(b"".join(ids), self.dtype), self.dtype.itemsize
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        from_ = np.cumsum(n) - n
+        per = n[kind]
+        until = np.cumsum(per)
+        raw = flat[np.arange(int(per.sum())) + np.repeat(from_[kind] - until + per, per)].tobytes()
+        cuts = np.append(0, until)[np.searchsorted(begin, ends)] * size
+        for i, b, e in zip(owner, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            out[i].append(raw[b:e])
 
     def counts(self, parts: list[list[str]]) -> list[np.ndarray]:
         """Ids of each stretch, counted."""
@@ -125,7 +215,36 @@ class Encoder:
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[w] = array(self.kind, e.ids).tobytes()
 
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct stretches."""
+        hold(self)
+        stretch_ids = self.stretch_ids
+        found = list(map(stretch_ids.get, words))
+        others = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = words[i].decode()
+                if not _LETTERS.fullmatch(w) or (self.drops_space and w[0] == " "):
+                    others.append((i, w))
+                    continue
+                if self.drops_space:
+                    w = w.lower()
+                spelt = w.replace(" ", _SPACE) if w.isascii() else "".join(map(_SPELLING.__getitem__, w.encode()))
+                found[i] = array(self.kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+                if len(stretch_ids) < MEMO_PARTS:
+                    stretch_ids[words[i]] = found[i]
+        for n in range(0, len(others), 4096):
+            some = others[n : n + 4096]
+            for (i, _), e in zip(some, self.tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False), strict=True):
+                found[i] = array(self.kind, e.ids).tobytes()
+                if len(stretch_ids) < MEMO_PARTS:
+                    stretch_ids[words[i]] = found[i]
+        if len(stretch_ids) >= MEMO_PARTS:
+            stretch_ids.clear()
+        return found
+
     def clear(self) -> None:
+        self.stretch_ids.clear()
         self.memo.clear()
         self.known.clear()
 

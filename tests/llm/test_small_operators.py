@@ -1,6 +1,7 @@
 """Brute-force checks of the operators on small fixtures, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -133,6 +134,24 @@ def test_encoder_is_the_tokenizer(path):
     assert [np.frombuffer(r, enc.dtype).tolist() for r in enc.raw(texts)] == want
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("portion", [1 << 20, 37])
+def test_encoder_is_the_tokenizer_on_odd_texts(path, portion, monkeypatch):
+    monkeypatch.setattr(tokens, "PORTION_CHARS", portion)
+    rng, enc = random.Random(portion), tokens.Encoder(path)
+    some = [*"aBéß .,#|1-\"'\n\t", "foo", "Foo", "'s", "'ll", "  ", "\r\n", "\xa0", "\x0b", "\x1c", "!?", "中文", "e\u0301", ",\u0338", "İ", "😀", "x" * 70, "y," * 40, "a\0"]
+    texts = ["".join(rng.choices(some, k=rng.choice([0, 1, 2, 5, 30, 200]))) for _ in range(1500)]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(r, enc.dtype).tolist() for r in enc.raw(texts)] == want
+
+
+def test_equal_hashes_of_stretches_do_no_harm(monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda padded, at, lens: np.zeros(len(at), np.uint64))
+    enc = tokens.Encoder(BYTE)
+    texts = ["one two one", "", "three one"]
+    assert [np.frombuffer(r, enc.dtype).tolist() for r in enc.raw(texts)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_store(spark, docs):
     enc = tokens.Encoder(WORD)
     rows = sorted(((k, t or "") for k, t, _ in DOCS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
