@@ -218,8 +218,8 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sum of each one's counts."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys, ascending, and the sum of each one's counts (integers, so that their order doesn't matter)."""
+    order = np.argsort(keys)
     keys = keys[order]
     s = runs(keys)
     return keys[s], np.add.reduceat(counts[order], s) if len(s) else counts[:0]

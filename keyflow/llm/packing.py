@@ -32,10 +32,11 @@ FILL_BYTES = 4 << 20
 HELD_BYTES = 48 << 20
 #: Terms of a shard that are multiplied as a matrix: those that most of its documents have.
 _DENSE = 512
-_PRODUCTS = 4 << 20
+#: Products that are added up together; few enough for a processor's cache.
+_PRODUCTS = 1 << 17
 #: Distinct terms that a counting task holds before it sends them on.
 _HELD_TERMS = 1_500_000
-_QUERIES = "block int, seeds binary, lens binary, terms binary, weights binary"
+_QUERIES = "block int, seeds binary, lens binary, terms binary, numbers binary, weights binary"
 
 
 def distinct_terms(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,26 +74,32 @@ class Shard:
         own = self.column[number] >= 0
         self.matrix[self.column[number[own]], self.docs[own]] = self.weights[own]
 
-    def scores(self, lens: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A row for each query of its score for each document; a query is so many of the terms and their weights."""
+    def scores(self, lens: np.ndarray, terms: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A row for each query of its score for each document; a query is so many numbers of the ascending terms, and their weights."""
         out = np.zeros((len(lens), self.n), np.float32)
         if not len(self.terms) or not len(terms):
             return out
-        query = np.repeat(np.arange(len(lens)), lens)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        have = self.terms[at] == terms
-        query, at, weights = query[have], at[have], weights[have]
-        column, left = self.column[at], np.zeros((len(lens), len(self.matrix)), np.float32)
-        own = column >= 0
+        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        have = self.terms[place] == terms
+        column = np.where(have, self.column[place], -2)[number]
+        query, left = np.repeat(np.arange(len(lens)), lens), np.zeros((len(lens), len(self.matrix)), np.float32)
+        own = np.flatnonzero(column >= 0)
         left[query[own], column[own]] = weights[own]
         np.matmul(left, self.matrix, out=out)
-        rest = np.flatnonzero(~own)
-        per = self.df[at[rest]]
+        rest = np.flatnonzero(column == -1)
+        query, weights, place = query[rest], weights[rest], place[number[rest]]
+        per = self.df[place]
+        until = np.cumsum(per)
         flat = out.reshape(-1)
-        for part in np.split(rest, np.flatnonzero(np.diff(np.cumsum(per) // _PRODUCTS)) + 1):
-            n = self.df[at[part]]
-            posting = np.arange(n.sum()) + np.repeat(self.begins[at[part]] - np.cumsum(n) + n, n)
-            np.add.at(flat, np.repeat(query[part] * self.n, n) + self.docs[posting], np.repeat(weights[part], n) * self.weights[posting])
+        cuts = [0, *(np.flatnonzero(np.diff(until // _PRODUCTS)) + 1).tolist(), len(rest)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            n = per[i:j]
+            posting = np.arange(n.sum()) + np.repeat(self.begins[place[i:j]] - np.cumsum(n) + n, n)
+            first, last = int(query[i]) * self.n, (int(query[j - 1]) + 1) * self.n  # queries are in order
+            cell = self.docs[posting] + np.repeat(query[i:j] * self.n - first, n)
+            flat[first:last] += np.bincount(cell, self.weights[posting] * np.repeat(weights[i:j], n), last - first)
         return out
 
 
@@ -129,11 +136,11 @@ class Queries:
             if info.path.endswith(".parquet"):
                 with fs.open_input_file(info.path) as file:
                     for batch in pq.ParquetFile(file).iter_batches(1):
-                        _, seeds, lens, terms, weights = (batch.column(i)[0].as_py() for i in range(5))
-                        yield np.frombuffer(seeds, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(terms, np.uint64), np.frombuffer(weights, np.float32)
+                        row = [batch.column(i)[0].as_py() for i in range(1, 6)]
+                        yield tuple(np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, np.uint64, np.int32, np.float32), strict=True))
 
     def blocks(self) -> Iterable[tuple[np.ndarray, ...]]:
-        """(seeds, lens, terms, weights) of each block."""
+        """(seeds, lens, terms, number, weights) of each block: its distinct terms, ascending, and each query's numbers of them."""
         if self.size > HELD_BYTES:
             return self._read()
         if self.held is None:
@@ -157,7 +164,7 @@ def build_queries(rows: DataFrame, every: int = EVERY) -> tuple[Queries, float]:
 
     def sent(keys: np.ndarray, counts: np.ndarray, block: int) -> list[tuple]:
         """Ascending keys and their counts, a row for each bucket."""
-        bucket = bucket_of(keys)
+        bucket = bucket_of(keys).astype(np.uint16 if n <= 1 << 16 else np.int64)  # short numbers are sorted by counting
         order = np.argsort(bucket, kind="stable")
         return [(b, block, C.pack(keys[order][i:j], True), C.pack(counts[order][i:j].astype(np.uint32))) for b, i, j in C.slices(bucket[order])]
 
@@ -201,7 +208,7 @@ def build_queries(rows: DataFrame, every: int = EVERY) -> tuple[Queries, float]:
             made.append((b, block, x, C.pack(df[np.searchsorted(keys, C.unpack(x, np.uint64, True))].astype(np.uint64))))
         return pa.Table.from_batches([table(made)])
 
-    schema = pa.schema([("block", pa.int32()), ("seeds", pa.binary()), ("lens", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("seeds", pa.binary()), ("lens", pa.binary()), ("terms", pa.binary()), ("numbers", pa.binary()), ("weights", pa.binary())])
 
     def finish(part: pa.Table, replies: pa.Table) -> pa.Table:
         if not part.num_rows:
@@ -218,14 +225,14 @@ def build_queries(rows: DataFrame, every: int = EVERY) -> tuple[Queries, float]:
         weight /= np.maximum(length, 1e-12)[doc]
         return pa.Table.from_pylist([{
             "block": part.column("block")[0].as_py(), "seeds": np.array(part.column("id"), np.int64).tobytes(), "lens": np.bincount(doc, minlength=len(lens)).astype(np.int64).tobytes(),
-            "terms": terms[number[by_doc]].tobytes(), "weights": weight.astype(np.float32).tobytes(),
+            "terms": terms.tobytes(), "numbers": number[by_doc].astype(np.int32).tobytes(), "weights": weight.astype(np.float32).tobytes(),
         }], schema)
 
     asked = seeds.groupBy("block").applyInArrow(ask, ddl)
     replies = counts.filter("bucket >= 0").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, ddl)
     folder = C.new_folder(spark, "queries")
     seeds.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, _QUERIES).write.parquet(folder)
-    held = spark.read.schema(_QUERIES).parquet(folder).agg(F.sum(F.octet_length("terms") + F.octet_length("weights"))).first()[0]
+    held = spark.read.schema(_QUERIES).parquet(folder).agg(F.sum(F.octet_length("terms") + F.octet_length("numbers") + F.octet_length("weights"))).first()[0]
     return Queries(folder, held or 0), mean
 
 
@@ -242,8 +249,8 @@ def search(docs: DataFrame, k: int, every: int = EVERY, id_col: str = "doc_id",
         for part in _portions(batches, SHARD_BYTES, SHARD_ROWS):
             shard, ids = Shard(C.bodies(part.column("body").combine_chunks()), mean), np.array(part.column("id").fill_null(-1), np.int64)
             known = np.array(part.column("id").is_valid())
-            for seeds, lens, terms, weights in queries.blocks():
-                scores = shard.scores(lens, terms, weights)
+            for seeds, lens, terms, number, weights in queries.blocks():
+                scores = shard.scores(lens, terms, number, weights)
                 scores[(seeds[:, None] == ids[None, :]) & known[None, :]] = 0
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 value = np.take_along_axis(scores, best, 1)
@@ -302,8 +309,8 @@ def route(docs: DataFrame, tokenizer: str, end_id: int, every: int = EVERY, id_c
             bodies = C.bodies(column)
             shard, n = Shard(bodies, mean), part.num_rows
             score, seed = np.zeros(n, np.float32), np.zeros(n, np.int64)
-            for seeds, lens, terms, weights in queries.blocks():
-                found = shard.scores(lens, terms, weights)
+            for seeds, lens, terms, number, weights in queries.blocks():
+                found = shard.scores(lens, terms, number, weights)
                 at = found.argmax(axis=0)
                 value = found[at, np.arange(n)]
                 better = (value > score) | ((value == score) & (value > 0) & (seeds[at] < seed))
