@@ -40,10 +40,10 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def masks(radius: int) -> np.ndarray:
-    """The covering masks for that radius, as unsigned 64-bit numbers."""
-    of = [i % (2 ** (radius + 1) - 1) + 1 for i in range(64)]
-    return np.array([sum(1 << i for i in range(64) if (of[i] & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))], np.uint64)
+def masks(radius: int, bits: int = 64) -> np.ndarray:
+    """The covering masks of so many bits for that radius, as unsigned 64-bit numbers."""
+    of = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
+    return np.array([sum(1 << i for i in range(bits) if (of[i] & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))], np.uint64)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
